@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalog.llm import queries_native
+from stratalog.llm import queries_free, queries_native
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**queries_native.QUERIES}
+    return {**queries_native.QUERIES, **queries_free.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**queries_native.SQL}
+    return {**queries_native.SQL, **queries_free.SQL}
