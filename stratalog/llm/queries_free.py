@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import simhash
+from stratalog.llm import secrets, simhash
 from stratalog.llm.common import table
 
 
@@ -14,5 +14,21 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of_kind(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def place(kind):
+        return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, secrets.KINDS)), kind), F.lit(0)), F.lit(99))
+
+    rank = F.transform(F.concat("base", "more"), lambda s: F.struct(s["start"].alias("start"), place(s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return found.select("doc_id", *map(of_kind, secrets.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(rank)).alias("spans"))
+
+
+QUERIES = {"op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
