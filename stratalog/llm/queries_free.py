@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import secrets, simhash
+from stratalog.llm import pieces, secrets, simhash
 from stratalog.llm.common import table
 
 
@@ -30,5 +30,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(of_kind, secrets.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.array_sort(rank)).alias("spans"))
 
 
-QUERIES = {"op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
+#: The vocabulary file; another place is a parameter of the operators.
+PIECES_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids of the whole text, and whether they decode to it."""
+    found = pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(PIECES_MODEL))
+    return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "exact")
+
+
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
