@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import pieces, secrets, simhash
+from stratalog.llm import licenses, pieces, secrets, simhash
 from stratalog.llm.common import table
 
 
@@ -40,5 +40,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", "exact")
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    own, base = F.col("found.label"), F.col("places.label")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.word").alias("first_word"), F.array_max("places.word").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, own)).alias("labels"),
+        F.coalesce(F.greatest(F.array_max("found.confidence"), F.when(F.size("places") > 0, F.lit(1.0))), F.lit(0.0)).alias("score"),
+    )
+
+
+QUERIES = {"op9_licenses": op9_licenses, "op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
