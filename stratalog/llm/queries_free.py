@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import licenses, pieces, secrets, simhash
+from stratalog.llm import classifier, licenses, pieces, secrets, simhash
 from stratalog.llm.common import table
 
 
@@ -54,5 +54,12 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_licenses": op9_licenses, "op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = classifier.train(docs, table(spark, sf_dir, "labels"), where=lambda key: ~classifier.held_out(key))
+    scored = classifier.score_documents(docs, model, carry=["doc_id"])
+    return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op6_quality": op6_quality, "op9_licenses": op9_licenses, "op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
