@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import mixing, sharding
+from stratalog.llm import mixing, quality_rules, sharding
 from stratalog.llm.common import table
 
 
@@ -53,5 +53,44 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op3_source_mix": op3_source_mix, "op4_ring_shards": op4_ring_shards}
-SQL = {"op3_source_mix": OP3_SQL}
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), u AS (
+  SELECT rid, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), f AS (
+  SELECT rid, i FROM u QUALIFY count(*) OVER (PARTITION BY rid, a, b, c) > 1
+), r AS (
+  SELECT rid, CAST(sum(least(3, coalesce(nxt - i, 3))) AS BIGINT) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nxt FROM f) GROUP BY rid
+), l AS (
+  SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d)
+), k AS (
+  SELECT rid, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS dup, CAST(coalesce(sum(n) FILTER (WHERE NOT (
+      (n >= 5 AND NOT regexp_matches(line, {_sql(quality_rules.SENTENCE_END)}))
+      OR len(regexp_extract_all(line, {_sql(quality_rules.SEPARATORS)})) * 4 >= greatest(n, 8)
+      OR 2 * len(regexp_extract_all(line, '[#*$%&|<>{{}}]')) >= n
+      OR len(regexp_extract_all(line, '!!')) * 2 >= n
+      OR regexp_matches(line, {_sql(quality_rules.NAVIGATION)})
+      OR regexp_matches(line, {_sql(quality_rules.BOILERPLATE)}))), 0) AS BIGINT) AS kept_words
+  FROM l WHERE n > 0 GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(length(array_to_string(d.w, '')) AS BIGINT) AS word_chars,
+       CAST(len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(k.dup, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+       len(d.w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(d.w) AS base_failed,
+       NOT (len(d.w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(d.w)) AND len(d.w) - coalesce(k.kept_words, 0) <= {quality_rules.MAX_LOSS} * len(d.w) AS kept,
+       coalesce(k.kept_words, 0) AS kept_words
+FROM d LEFT JOIN k USING (rid) LEFT JOIN r USING (rid)
+"""
+
+
+QUERIES = {"op5_quality_rules": op5_quality_rules, "op3_source_mix": op3_source_mix, "op4_ring_shards": op4_ring_shards}
+SQL = {"op5_quality_rules": OP5_SQL, "op3_source_mix": OP3_SQL}
