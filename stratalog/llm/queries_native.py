@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import mixing, quality_rules, sharding
+from stratalog.llm import mixing, quality_rules, sharding, url_filter
 from stratalog.llm.common import table
 
 
@@ -92,5 +92,27 @@ FROM d LEFT JOIN k USING (rid) LEFT JOIN r USING (rid)
 """
 
 
-QUERIES = {"op5_quality_rules": op5_quality_rules, "op3_source_mix": op3_source_mix, "op4_ring_shards": op4_ring_shards}
-SQL = {"op5_quality_rules": OP5_SQL, "op3_source_mix": OP3_SQL}
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+OP8_SQL = f"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id,
+         translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{url_filter.UPPER}', '{url_filter.LOWER}') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r AS (
+  SELECT * FROM (VALUES {", ".join(f"('{kind}', '{rule}', '{rule.split('/', 1)[0]}', '/{rule.split('/', 1)[1]}')" for kind, rule in url_filter.RULES)}) t(kind, rule, rhost, rpath)
+), h AS (
+  SELECT * FROM (VALUES {", ".join(f"('{h}')" for h in url_filter.HOSTS)}) t(bad)
+), b AS (
+  SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(kind, length(rule)) AS kind FROM u JOIN r
+  ON (host = rhost OR suffix(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY rid
+)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN EXISTS (SELECT 1 FROM h WHERE host = bad OR suffix(host, '.' || bad)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN b USING (rid)
+"""
+
+
+QUERIES = {"op8_url_filter": op8_url_filter, "op5_quality_rules": op5_quality_rules, "op3_source_mix": op3_source_mix, "op4_ring_shards": op4_ring_shards}
+SQL = {"op8_url_filter": OP8_SQL, "op5_quality_rules": OP5_SQL, "op3_source_mix": OP3_SQL}
