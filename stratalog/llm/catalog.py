@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from stratalog.llm import queries_free, queries_native
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**queries_native.QUERIES, **queries_free.QUERIES}
+    return {**queries_native.QUERIES, **queries_free.QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

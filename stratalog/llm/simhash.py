@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut
+from stratalog.llm.common import cut, fresh
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).astype(np.int64)
 #: Variants that a part should hold, and the most that are sorted at once.
@@ -222,3 +222,100 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = components(ball_links(named, named.count(), radius))
     resolved = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     return marked.join(resolved, "fp").select(key, "fp", "component")
+
+
+#: Near copies: fingerprints of distinct words, under these seeds, find candidates; sketches of word shingles verify them.
+#: TOLERANCE is about one standard deviation of a sketch's estimate: a copy at the threshold should rather be found.
+TABLES, SKETCH, TOLERANCE = (42, 43, 44, 45), 256, 0.03
+
+
+def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> bytes:
+    """One-permutation MinHash of a set of 64-bit hashes: the least rest in each of `size` bins, 16 bits of each, 0 if none."""
+    out = np.zeros(size, np.uint16)
+    if len(hashes):
+        order = np.sort(np.unique(hashes))[::-1]
+        mixed = order * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+        rest = (mixed >> np.uint64(8)) % np.uint64(65535) + np.uint64(1)
+        by = np.argsort(mixed, kind="stable")[::-1]
+        # The last one written to a bin is its least.
+        out[(mixed[by] % np.uint64(size)).astype(np.int64)] = rest[by].astype(np.uint16)
+    return out.tobytes()
+
+
+def marks(docs: DataFrame, key: str, text: str, k: int, seeds: tuple[int, ...] = TABLES) -> DataFrame:
+    """(key, digest, fps, sketch): of the words' sequence, of the distinct words under each seed, and of the k-word shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest, xxh3_128_digest
+
+        factors = [np.uint64(2 * (0x9E3779B97F4A7C15 * s & (1 << 62) - 1) + 1) for s in seeds]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                digests, fps, sketches = [], [], []
+                for t in part.column(1).to_pylist():
+                    words = words_of(t)
+                    distinct = np.fromiter((xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
+                    mixed = [(m := distinct * f) ^ (m >> np.uint64(32)) for f in factors]
+                    digests.append(xxh3_128_digest(b" ".join(words)))
+                    fps.append([_signed(majority(m * np.uint64(0xD6E8FEB86659FD93))) for m in mixed])
+                    sketches.append(sketch_of(shingle_hashes(words, k, 42)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["key", "digest", "fps", "sketch"])
+
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, "key long, digest binary, fps array<long>, sketch binary")
+
+
+def similar(pairs: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b, sa, sb) those whose sketches agree in at least this share of the bins that either fills."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+            same, any_ = ((one == two) & (one > 0)).sum(1), ((one > 0) | (two > 0)).sum(1)
+            keep = pa.array(same >= least * any_)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
+    """(key, component) of near copies: the smallest key of each group, for every row with a key.
+
+    Texts of one sequence of words are one node. Two nodes are candidates if, under one of the seeds, the fingerprints of
+    their distinct words differ in at most `radius` bits; in copies whose k-word shingles agree by `least`, few words
+    differ, so that one of the four finds nearly all of them (measured in the README). Each fingerprint meets the smallest
+    node of each variant, so a group of any size gives a few pairs for each of its members, and pairs are linked if their
+    sketches' estimate of the shingles' Jaccard similarity reaches `least`, less TOLERANCE. Nodes without a word are one group.
+    """
+    marked = cut(marks(docs, key, text, k))
+    nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
+    n = nodes.count()
+    pairs = []
+    for i in range(len(TABLES)):
+        own = nodes.select(F.get("fps", F.lit(i)).alias("fp"), "node")
+        heads = cut(own.groupBy("fp").agg(F.min("node").alias("node")))
+        same = own.join(heads.withColumnRenamed("node", "b"), "fp").where("node > b").select(F.col("node").alias("a"), "b")
+        pairs.append(same.union(ball_links(heads, n, radius, forest=False)))
+    every = pairs[0]
+    for p in pairs[1:]:
+        every = every.union(p)
+    sketches = nodes.select("node", "sketch")
+    every = every.distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    found = components(similar(every, least - TOLERANCE))
+    resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
+    return marked.where("key IS NOT NULL").join(resolved, "digest").select("key", "component")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One document of each group of near copies: that with the smallest key. Rows without a key stay, as nothing names them.
+
+    Rows that repeat the smallest key with the same text are one row in the result.
+    """
+    first = near_groups(docs, key, text, **options).where("key = component").select(F.col("key").alias("kept_key")).distinct()
+    (own,) = fresh(docs, "kept_key")
+    kept = docs.join(first.withColumnRenamed("kept_key", own), F.col(key) == F.col(own), "left_semi")
+    return kept.dropDuplicates([key]).union(docs.where(F.col(key).isNull()))
