@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import classifier, licenses, pieces, secrets, simhash
+from stratalog.llm import classifier, lattice, licenses, pieces, secrets, simhash
 from stratalog.llm.common import table
 
 
@@ -61,5 +61,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op6_quality": op6_quality, "op9_licenses": op9_licenses, "op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lattice.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumnRenamed("component", "component_id")
+
+
+QUERIES = {"op2_lattice": op2_lattice, "op6_quality": op6_quality, "op9_licenses": op9_licenses, "op1_sentencepiece": op1_sentencepiece, "op7_simhash": op7_simhash, "op10_secrets": op10_secrets}
 SQL: dict[str, str] = {}
