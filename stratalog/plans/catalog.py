@@ -464,9 +464,9 @@ def _summaries(spark, d):
     return M.interaction_summaries(_members(spark, d), values)
 
 
-@query("interaction_summaries", f"WITH {_INT} SELECT window_id, feature_a, feature_b, round(mean, 6) AS mean, round(mean_abs, 6) AS mean_abs, n FROM su")
+@query("interaction_summaries", f"WITH {_INT} SELECT window_id, feature_a, feature_b, round(mean, 6) + 0.0::DOUBLE AS mean, round(mean_abs, 6) AS mean_abs, n FROM su")
 def interaction_summaries(spark, d):
-    return _summaries(spark, d).select("window_id", "feature_a", "feature_b", F.round("mean", 6).alias("mean"), F.round("mean_abs", 6).alias("mean_abs"), "n")
+    return _summaries(spark, d).select("window_id", "feature_a", "feature_b", (F.round("mean", 6) + F.lit(0.0)).alias("mean"), F.round("mean_abs", 6).alias("mean_abs"), "n")
 
 
 @query("top_interactions", f"WITH {_INT} SELECT feature_a, feature_b, round(sum(mean * n) / sum(n), 6) + 0.0::DOUBLE AS mean, round(sum(mean_abs * n) / sum(n), 6) AS mean_abs, count(DISTINCT window_id) AS windows_with_interaction FROM su GROUP BY 1, 2")
