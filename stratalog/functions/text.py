@@ -81,7 +81,7 @@ def leading_number(text: Column) -> Column:
 def sized(text: Column) -> Column:
     """Bytes of `2 KB` or `1.5 MB/s`; 0 for anything that begins with a bare 0."""
     plain = F.regexp_replace(F.trim(text), "(?i)/s$", "")
-    unit = F.upper(F.regexp_extract(plain, r"(?i)([KMGT]?B)$", 1))
+    unit = F.upper(F.regexp_extract(plain, r"(?i)([A-Z]+)$", 1))
     return F.coalesce(to_bytes(leading_number(plain), unit), F.when(leading_number(plain) == 0, F.lit(0)).cast("long"))
 
 

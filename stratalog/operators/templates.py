@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WILD = "<*>"
+#: Depth counts the root, the length and the clusters, so that with 4 one leading token is routed by.
 DEPTH, SIMILARITY, CHILDREN = 4, 0.4, 100
 
 
@@ -29,7 +30,7 @@ def fit_branch(messages: list[list[str]], known: list[list[str]] = (), depth: in
 
     def leaf(words: list[str]) -> list[int]:
         node = tree
-        for w in words[: depth - 2]:
+        for w in words[: max(1, depth - 3)]:
             w = WILD if _digits(w) else w
             if w not in node:
                 if WILD in node and len(node) >= children:
