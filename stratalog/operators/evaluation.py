@@ -34,7 +34,7 @@ def time_series_folds(rows: DataFrame, folds: int = 5, test_size: int | None = N
 def auc(scored: DataFrame, score: str = "probability", label: str = "label", tie: str = "bucket_id") -> DataFrame:
     """Rank sum without averaging of ties; 0.5 with one class only.
 
-    Equal scores rank by `tie`; the ranks come from counts of distinct scores, so that one sort holds no single partition.
+    Equal scores rank by `tie`. The rank is global, over one narrow row for each window of a test set.
     """
     ranked = scored.select(F.row_number().over(Window.orderBy(score, tie)).alias("r"), F.col(label).alias("y"))
     told = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("s"), F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))

@@ -52,7 +52,7 @@ def lead_used(instances: DataFrame, t_symptom, anchor: str, equivalents: list[st
     One query gives the latest candidate's bucket end. until_found=False doubles to the most once no candidate is in the first window.
     """
     rows = classified(window_buckets(instances, t_symptom, most), t_symptom, anchor, equivalents).where("candidate")
-    nearest = rows.agg(F.min(F.lit(t_symptom).cast("timestamp_ntz") - F.col("end_time")).alias("gap"), (seconds_of(F.lit(t_symptom).cast("timestamp_ntz")) - F.max(seconds_of(F.col("end_time")))).alias("s")).first()["s"]
+    nearest = rows.agg((seconds_of(F.lit(t_symptom).cast("timestamp_ntz")) - F.max(seconds_of(F.col("end_time")))).alias("s")).first()["s"]
     used, steps = lead, 0
     while used < most and not (nearest is not None and nearest < (used if until_found or not steps else -1) * 60):
         used, steps = min(used * 2, most), steps + 1

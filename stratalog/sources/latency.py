@@ -73,7 +73,7 @@ def parse_json(texts: DataFrame, column: str = "value") -> DataFrame:
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of latency files of either layout."""
-    whole = spark.read.option("wholetext", "true").text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
     kind = layout(F.regexp_extract("value", r"(?s)^\uFEFF?\s*(\S[^\n]*)", 1))
     lines = whole.where(kind == "table").select(F.posexplode(F.split("value", "\r?\n")).alias("ord", "value"), "source_file")
     records, _ = parse_table(lines)

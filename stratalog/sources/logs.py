@@ -19,7 +19,7 @@ def read_lines(spark: SparkSession, paths: list[str] | str, pattern: str | None
     """
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
-    rows = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at"))
+    rows = reader.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
     return rows.where(F.trim("value") != "").withColumn("ord", F.monotonically_increasing_id())
 
 

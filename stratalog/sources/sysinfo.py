@@ -72,7 +72,7 @@ def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of system files: reports, or JSON lines where a file holds no section and is named .json."""
-    whole = spark.read.option("wholetext", "true").text(paths).select("value", F.col("_metadata.file_path").alias("source_file"))
+    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("source_file"))
     reports = F.col("value").rlike(TITLE)
     lines = whole.where(~reports & F.col("source_file").endswith(".json")).select(F.explode(F.split("value", "\r?\n")).alias("value"), "source_file")
     return parse_reports(whole.where(reports)).unionByName(parse_json_lines(lines)).withColumn("ord", F.monotonically_increasing_id())
