@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 18
-MAX_DOCS = 4000
+MAX_DOCS = 1500
 #: A batch's new words come on top of it.
 MEMO = 300_000
 #: Features that an immediate repetition of a word counts for.
@@ -104,17 +104,19 @@ def fit(texts: list[bytes | None], labels: list[int], buckets: int = BUCKETS, di
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets + 1, dim)).astype(np.float32)
     softmax, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    split = [t.split() if t else [] for t in texts]
-    place = {w: i for i, w in enumerate(sorted({w for words in split for w in words}))}
+    # One text's words at a time: only the features of the different words and of each document stay.
+    place = {w: i for i, w in enumerate(sorted(set().union(*(set(t.split()) for t in texts if t))))}
     every, counts = features(list(place), buckets)
     ends = np.cumsum(counts)
     docs = []
-    for words in split:
+    for text in texts:
+        words = text.split() if text else []
         own = [place[w] for w in words]
         at, n = np.unique(np.concatenate([every[ends[i] - counts[i] : ends[i]] for i in own]) if own else np.zeros(0, np.int32), return_counts=True)
         if again := repeats(words):
             at, n = np.append(at, np.int32(buckets)), np.append(n, again)
         docs.append((at, (n / max(1, n.sum())).astype(np.float32)))
+    del place, every
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
