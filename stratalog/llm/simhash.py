@@ -224,9 +224,10 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return marked.join(resolved, "fp").select(key, "fp", "component")
 
 
-#: Near copies: fingerprints of distinct words, under these seeds, find candidates; sketches of word shingles verify them.
-#: TOLERANCE is about one standard deviation of a sketch's estimate: a copy at the threshold should rather be found.
-TABLES, SKETCH, TOLERANCE = (42, 43, 44, 45), 256, 0.03
+#: Near copies: the word shingles' sketch of SKETCH bins is read as BANDS keys; texts with a key in common are compared. TOLERANCE
+#: is about one standard deviation of a sketch's estimate: a copy at the threshold should rather be found. BLOCK is the number
+#: of texts of one key that are compared in one place; more of them are dealt out in pairs of blocks.
+SKETCH, BANDS, TOLERANCE, BLOCK = 256, 32, 0.03, 4096
 
 
 def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> bytes:
@@ -243,69 +244,134 @@ def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> bytes:
     return out.tobytes()
 
 
-def marks(docs: DataFrame, key: str, text: str, k: int, seeds: tuple[int, ...] = TABLES) -> DataFrame:
-    """(key, digest, fps, sketch): of the words' sequence, of the distinct words under each seed, and of the k-word shingles."""
+def marks(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
+    """(key, digest, sketch): the sketch of the k-word shingles, and its digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_128_digest
 
-        factors = [np.uint64(2 * (0x9E3779B97F4A7C15 * s & (1 << 62) - 1) + 1) for s in seeds]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                digests, fps, sketches = [], [], []
-                for t in part.column(1).to_pylist():
-                    words = words_of(t)
-                    distinct = np.fromiter((xxh64_intdigest(w, 42) for w in set(words)), np.uint64)
-                    mixed = [(m := distinct * f) ^ (m >> np.uint64(32)) for f in factors]
-                    digests.append(xxh3_128_digest(b" ".join(words)))
-                    fps.append([_signed(majority(m * np.uint64(0xD6E8FEB86659FD93))) for m in mixed])
-                    sketches.append(sketch_of(shingle_hashes(words, k, 42)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["key", "digest", "fps", "sketch"])
+                sketches = [sketch_of(shingle_hashes(words_of(t), k, 42)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxh3_128_digest, sketches), pa.binary()), pa.array(sketches, pa.binary())], ["key", "digest", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, digest binary, fps array<long>, sketch binary")
+    return rows.mapInArrow(run, "key long, digest binary, sketch binary")
 
 
-def similar(pairs: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b, sa, sb) those whose sketches agree in at least this share of the bins that either fills."""
+@lru_cache(maxsize=1)
+def _probes() -> np.ndarray:
+    """For each bin the place of every bin in the order in which it looks for one that is filled."""
+    return np.random.default_rng(11).permuted(np.tile(np.arange(SKETCH, dtype=np.int16), (SKETCH, 1)), axis=1)
+
+
+def band_keys(sketch: np.ndarray) -> np.ndarray:
+    """BANDS keys of a sketch; none of an empty one. An empty bin takes the value of the first filled one in its own order
+    (densified one-permutation hashing), so that short texts meet as surely as long ones."""
+    filled = np.flatnonzero(sketch)
+    if not len(filled):
+        return np.zeros(0, np.uint64)
+    if len(filled) < len(sketch):
+        empty = np.flatnonzero(sketch == 0)
+        sketch = sketch.copy()
+        sketch[empty] = sketch[filled[_probes()[np.ix_(empty, filled)].argmin(1)]]
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    for column in sketch.view(np.uint64).reshape(BANDS, -1).T:
+        out = (out ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def _banded(nodes: DataFrame) -> DataFrame:
+    """(key, node) for every band key of nodes (node, sketch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                keys = [band_keys(np.frombuffer(s, np.uint16)) for s in part.column(1).to_pylist()]
+                owner = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(owner, pa.int64())], ["key", "node"])
+
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
+
+
+def linked(sketches: np.ndarray, least: float) -> np.ndarray:
+    """(later, first) indices that join the rows which agree, directly or over others, in `least` of the bins that either fills.
+
+    Every row that was reached is compared with all that were not, so no pair that could join two groups is left out.
+    """
+    filled = sketches > 0
+    rest, out = np.arange(len(sketches)), []
+    while len(rest) > 1:
+        head, rest = rest[0], rest[1:]
+        reached = [head]
+        while reached and len(rest):
+            at = reached.pop()
+            same = np.count_nonzero((sketches[rest] == sketches[at]) & filled[at], axis=1)
+            hit = same >= least * np.count_nonzero(filled[rest] | filled[at], axis=1)
+            if hit.any():
+                new, rest = rest[hit], rest[~hit]
+                out.append(np.stack((new, np.full(len(new), head)), 1))
+                reached += new.tolist()
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def near_links(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b) links of nodes (node, sketch) that keep the components of all pairs with a band key in common and agreeing sketches.
+
+    Keys with the same nodes count once. The nodes of a key are compared with each other where they meet; beyond `block` of
+    them they are dealt to blocks, and each two blocks meet.
+    """
+    banded = _banded(nodes)
+    sets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
+    kept = sets.where("n > 1").groupBy("n", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    own = F.expr("pmod(xxhash64(node, 3), blocks)")
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("own", j) * F.col("blocks") + F.greatest("own", j))
+    members = banded.join(kept, "key").withColumn("own", own).select("key", "node", F.explode(met).alias("met"))
+    dealt = members.join(nodes.select("node", "sketch"), "node").select("key", "met", "node", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.RecordBatch]:
+            """What of the rows begins the next batch's group, and the links of all groups before."""
+            key, met, node = (rows.column(i).to_numpy() for i in range(3))
+            ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (met[1:] != met[:-1])) + 1, len(key))
+            ends = ends if last else ends[:-1]
+            at, a, b = 0, [], []
+            if len(ends):
+                sketches = np.frombuffer(b"".join(rows.column(3).slice(0, ends[-1]).to_pylist()), np.uint16).reshape(ends[-1], -1)
+            for end in ends.tolist():
+                found = linked(sketches[at:end], least) + at
+                a.append(node[found[:, 0]])
+                b.append(node[found[:, 1]])
+                at = end
+            arrays = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64()) for x in (a, b)]
+            return rows.slice(at), pa.RecordBatch.from_arrays(arrays, ["a", "b"])
+
+        rest = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
-            same, any_ = ((one == two) & (one > 0)).sum(1), ((one > 0) | (two > 0)).sum(1)
-            keep = pa.array(same >= least * any_)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(keep)
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                rest, out = links(rows if rest is None else pa.concat_tables([rest, rows]), False)
+                yield out
+        if rest is not None and rest.num_rows:
+            yield links(rest, True)[1]
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return dealt.repartition("key", "met").sortWithinPartitions("key", "met").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8, radius: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component) of near copies: the smallest key of each group, for every row with a key.
 
-    Texts of one sequence of words are one node. Two nodes are candidates if, under one of the seeds, the fingerprints of
-    their distinct words differ in at most `radius` bits; in copies whose k-word shingles agree by `least`, few words
-    differ, so that one of the four finds nearly all of them (measured in the README). Each fingerprint meets the smallest
-    node of each variant, so a group of any size gives a few pairs for each of its members, and pairs are linked if their
-    sketches' estimate of the shingles' Jaccard similarity reaches `least`, less TOLERANCE. Nodes without a word are one group.
+    Texts of one sketch are one node. Two nodes are candidates if their sketches of k-word shingles have the same values in one
+    of BANDS bands: of pairs whose shingles' Jaccard similarity is `least` = 0.8 nearly all do, however their words differ
+    (measured in the README). All candidates of a key are compared, and linked if their sketches' estimate of the similarity
+    reaches `least`, less TOLERANCE. Nodes without a word are one group.
     """
     marked = cut(marks(docs, key, text, k))
-    nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
-    n = nodes.count()
-    pairs = []
-    for i in range(len(TABLES)):
-        own = nodes.select(F.get("fps", F.lit(i)).alias("fp"), "node")
-        heads = cut(own.groupBy("fp").agg(F.min("node").alias("node")))
-        same = own.join(heads.withColumnRenamed("node", "b"), "fp").where("node > b").select(F.col("node").alias("a"), "b")
-        pairs.append(same.union(ball_links(heads, n, radius, forest=False)))
-    every = pairs[0]
-    for p in pairs[1:]:
-        every = every.union(p)
-    sketches = nodes.select("node", "sketch")
-    every = every.distinct().join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    found = components(similar(every, least - TOLERANCE))
+    nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
+    found = components(near_links(nodes, least - TOLERANCE))
     resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return marked.where("key IS NOT NULL").join(resolved, "digest").select("key", "component")
 
