@@ -184,7 +184,8 @@ def detect(text: str | None) -> list[Detection]:
     if not text:
         return []
     low = lowered(text)
-    active = sorted({i for _, own in _gate().iter(low) for i in own})
+    # The rules take any white space where a keyword has a blank.
+    active = sorted({i for _, own in _gate().iter(" ".join(low.split())) for i in own})
     if not active:
         return []
     table = rules()

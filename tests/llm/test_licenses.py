@@ -75,3 +75,23 @@ def test_query_digests(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries_free.op9_licenses(spark, str(tmp_path)).count() == 0
+
+
+WRAPPED = (
+    "GNU General Public License, version 2", "Python Software Foundation License", "SIL Open Font License", "Open Database License", "Open Data Commons Attribution License",
+    "Open Data Commons Public Domain Dedication and License", "Business Source License", "Server Side Public License", "Universal Permissive License", "Academic Free License", "Open Software License",
+    "Blue Oak Model License", "CC BY 4.0", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", "released into the public domain", "All rights reserved",
+    "You may not copy it without prior written permission", "licensed under the Foo Bar License",
+)
+
+
+@pytest.mark.parametrize("space", ["\n", "\t"])
+def test_keywords_of_several_words_are_found_over_line_ends(space):
+    many = {rule.keyword for rule in licenses.rules() if " " in rule.keyword} - {"cc by"}
+    assert all(any(k in t.lower() for t in WRAPPED) for k in many)
+    for text in WRAPPED:
+        want = {d.label for d in licenses.detect(text)}
+        assert want and {d.label for d in licenses.detect(text.replace(" ", space, 2 if "Foo" in text else -1))} == want, text  # that name is on one line
+    assert [d.label for d in licenses.detect("GNU General\r\n  Public License, version 2")] == ["gpl-2.0"]
