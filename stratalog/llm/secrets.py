@@ -58,6 +58,9 @@ _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _GRAPHIC_RUN = re.compile(r"[\x21-\x7e]+")
 _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|x([0-9A-Fa-f]{2}))")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that are parted by line ends only.
+_BASE64_LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 INFLATE_LIMIT = 1 << 24
 
 
@@ -86,18 +89,38 @@ def _readable(data: bytes) -> str | None:
 
 
 def _inflate(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """What a compressed body holds and how it was packed; None if it is none, is broken, or exceeds the limit."""
-    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78":
-        packer, machine = ("gzip", zlib.decompressobj(31)) if data[:1] == b"\x1f" else ("zlib", zlib.decompressobj())
+    """What a compressed body holds, of all its members, and how it was packed; None if it is none, is broken, or exceeds the limit."""
+    packer, magic, machine = "", b"", None
+    if data[:2] == b"\x1f\x8b":
+        packer, magic, machine = "gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)
+    elif data[:1] == b"\x78":
+        packer, magic, machine = "zlib", b"\x78", zlib.decompressobj
     elif data[:3] == b"BZh":
-        packer, machine = "bzip2", bz2.BZ2Decompressor()
-    else:
+        packer, magic, machine = "bzip2", b"BZh", bz2.BZ2Decompressor
+    if machine is None:
         return None
-    try:
-        out = machine.decompress(data, limit)
-    except (zlib.error, OSError, ValueError, EOFError):
-        return None
-    return (packer, out) if machine.eof else None
+    members: list[bytes] = []
+    at = total = 0
+    while data.startswith(magic, at):
+        size = 1 << 16
+        try:
+            while True:
+                # One byte more than is left shows whether the limit is exceeded.
+                member = machine()
+                out = member.decompress(data[at : at + size], limit - total + 1)
+                if member.eof or len(out) > limit - total or at + size >= len(data):
+                    break
+                size *= 4
+        except (zlib.error, OSError, ValueError, EOFError):
+            break
+        total += len(out)
+        if not member.eof or total > limit:
+            break
+        members.append(out)
+        at = min(len(data), at + size) - len(member.unused_data)
+        while data.startswith(b"\0", at):
+            at += 1
+    return (packer, b"".join(members)) if members else None
 
 
 def _unescape(m: re.Match) -> str:
@@ -127,19 +150,71 @@ def _base64(run: str, limit: int) -> Iterator[tuple[str, str]]:
             return
 
 
+def _lines(text: str, limit: int) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
+    """(start, end, contents) of base64 that goes over several lines.
+
+    All lines of a block are taken first; then without a first or last one that may be no part of it, such as a PEM mark; then
+    the stretches of lines of one length, each with the shorter line that ends it.
+    """
+    for m in _BASE64_LINES.finditer(text):
+        rows = [(m.start() + r.start(), m.start() + r.end()) for r in _BASE64_LINE.finditer(m[0])]
+        if max(b - a for a, b in rows) < 16:
+            continue
+        n = len(rows)
+        tries, at = [(0, n), (1, n), (0, n - 1), (1, n - 1)], 0
+        while at < n:
+            wide, to = rows[at][1] - rows[at][0], at + 1
+            while to < n and rows[to][1] - rows[to][0] == wide:
+                to += 1
+            tries += [(at, to), (at, to + 1)] if to < n and rows[to][1] - rows[to][0] < wide else [(at, to)]
+            at = to
+        done: list[tuple[int, int]] = []
+        for i, j in dict.fromkeys(tries):
+            if j - i < 2 or any(i < y and x < j for x, y in done):
+                continue
+            pad = m[0][len(m[0].rstrip("=")) :] if j == n else ""
+            if out := list(_base64("".join(text[a:b] for a, b in rows[i:j]) + pad, limit)):
+                done.append((i, j))
+                yield rows[i][0], rows[j - 1][1] + len(pad), out
+
+
+def _percents(run: str) -> str:
+    """The run with its escapes decoded; those that are no UTF-8 stay as they are."""
+
+    def decoded(m: re.Match) -> str:
+        text, out, at = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape"), [], 0
+        for c in text:
+            bad = "\udc80" <= c <= "\udcff"
+            out.append(m[0][at : at + 3] if bad else c)
+            at += 3 if bad else 3 * len(c.encode())
+        return "".join(out)
+
+    return re.sub(r"(?:%[0-9A-Fa-f]{2})+", decoded, run)
+
+
 def unwrap(text: str, limit: int = INFLATE_LIMIT) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, route, decoded) of every encoded run of one layer."""
     if _PERCENT.search(text):
         for m in _URL_RUN.finditer(text):
-            if "%" in m[0] and _PERCENT.search(m[0]):
-                data = re.sub(rb"%([0-9A-Fa-f]{2})", lambda h: bytes((int(h[1], 16),)), m[0].encode())
-                if (out := _readable(data)) is not None:
-                    yield m.start(), m.end(), "url", out
+            if "%" in m[0] and (out := _percents(m[0])) != m[0]:
+                yield m.start(), m.end(), "url", out
     if _ONE_ESCAPE.search(text):
         for m in _GRAPHIC_RUN.finditer(text):
             if "\\" in m[0] and (out := _ONE_ESCAPE.sub(_unescape, m[0])) != m[0]:
                 yield m.start(), m.end(), "unicode", out
+    joined = []
+    if "\n" in text or "\r" in text:
+        for start, end, contents in _lines(text, limit):
+            joined.append((start, end))
+            for route, out in contents:
+                yield start, end, route, out
+    at = 0
+    joined.sort()
     for m in _BASE64.finditer(text):
+        while at < len(joined) and joined[at][1] <= m.start():
+            at += 1
+        if at < len(joined) and joined[at][0] <= m.start():
+            continue
         for route, out in _base64(m[0], limit):
             yield m.start(), m.end(), route, out
 

@@ -1,4 +1,5 @@
 import base64
+import bz2
 import gzip
 import hashlib
 import re
@@ -91,3 +92,25 @@ def test_query_digests(spark, tmp_path):
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert all(got[i][f"n_{k}"] == len(re.findall(rf"\b{k}:", want)) for k in secrets.KINDS)
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
+
+
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress])
+@pytest.mark.parametrize("around", ["before\n{}\nafter", "data: {}", "-----BEGIN CERTIFICATE-----\n{}\n-----END CERTIFICATE-----", "long_identifier_before_it\n{}\nx"])
+@pytest.mark.parametrize("width, end", [(76, "\n"), (64, "\r\n"), (64, "\n  ")])
+def test_wrapped_base64_is_joined(pack, around, width, end):
+    noise = " ".join(hashlib.md5(bytes([i])).hexdigest()[:9] for i in range(60))
+    for size in range(3):
+        run = base64.b64encode(pack(f"{noise} {KEY} {noise}{'!' * size}".encode())).decode()
+        text = around.format(end.join(run[i : i + width] for i in range(0, len(run), width)))
+        assert any(kind.startswith("access+base64") for _, _, kind in secrets.find_secrets(text)[1])
+
+
+def test_undecodable_escapes_and_further_members_hide_nothing():
+    hidden = "".join(f"%{ord(c):02x}" for c in KEY)
+    for bad in ("%E9", "%FF", "%e9%20", "%C3%28", "%00%01%02%03"):
+        _, more = secrets.find_secrets(f"see a={bad}&key={hidden}&b={bad} it")
+        assert "access+url" in {k for _, _, k in more}, bad
+    assert secrets._percents("%C3%A9%e9x%FF%41%E6%BC%A2%E6") == "é%e9x%FFA漢%E6"
+    for pack in (gzip.compress, bz2.compress):
+        run = base64.b64encode(pack(b"Some first member") + pack(b"middle one, ") + pack(f"key {KEY} end".encode())).decode()
+        assert any(k.startswith("access+base64.") for _, _, k in secrets.find_secrets(f"x {run} y")[1])
