@@ -7,8 +7,11 @@ decoded layer is always shorter than its run, so depth is bounded without a limi
 be longer than their run; their total size is bounded by `inflate_limit`, a documented parameter against
 decompression bombs.
 
-A finding in a decoded layer is reported with the span of its outermost run in the text, and its kind has a `+` and the
-route, for example `access+base64`. Findings in the text itself have their exact spans. Spans count code points.
+The kind of a finding in a decoded layer has a `+` and the route, for example `access+base64`. Its span is that of its
+outermost run in the text, or, with `mapped` as in the queries, that of the characters that it was decoded from: escapes map
+one by one, base64 by groups of four, and only what a compressed body holds maps to the whole body. A mapped finding that an
+earlier layer or the text itself had with the same kind and span is not reported again. Findings in the text itself have
+their exact spans. Spans count code points.
 
 Defined cases: null and empty texts have no findings. Whole texts are scanned whatever their length. Equal findings of equal
 spans are reported once.
@@ -25,6 +28,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -219,23 +223,81 @@ def unwrap(text: str, limit: int = INFLATE_LIMIT) -> Iterator[tuple[int, int, st
             yield m.start(), m.end(), route, out
 
 
-def find_secrets(text: str | None, limit: int = INFLATE_LIMIT) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base, more): the base kinds' findings in the text itself, and all that the method adds; both sorted, by position."""
+class _Places:
+    """For every character of a layer the first place in the text that it came from, and the place after the last."""
+
+    def __init__(self, lo: np.ndarray, hi: np.ndarray):
+        self.lo, self.hi = lo, hi
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return int(self.lo[start]), int(self.hi[end - 1])
+
+
+def _places(run: str, route: str, out: str) -> _Places:
+    """Where in its run each character of the decoded layer came from."""
+    if route == "base64":
+        sextets = np.array([m.start() for m in re.finditer(r"[A-Za-z0-9+/_-]", run)])
+        sizes = np.frombuffer(out.encode("utf-32-le"), np.uint32)
+        ends = np.cumsum(1 + (sizes > 0x7F) + (sizes > 0x7FF).astype(np.int64) + (sizes > 0xFFFF))
+        starts = np.concatenate(([0], ends[:-1]))
+        after = np.append(sextets[1:], len(run))  # the last group has the padding
+        last = np.minimum((ends + 2) // 3 * 4, len(sextets)) - 1
+        return _Places(sextets[starts // 3 * 4], np.where(last == len(sextets) - 1, after[last], sextets[last] + 1))
+    if route not in ("url", "unicode"):
+        return _Places(np.zeros(len(out), np.int64), np.full(len(out), len(run)))
+    widths = np.ones(len(out), np.int64)
+    shift = 0
+    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", run) if route == "url" else _ONE_ESCAPE.finditer(run):
+        at, text = m.start() - shift, _percents(m[0]) if route == "url" else _unescape(m)
+        if route == "unicode":
+            if text != m[0]:
+                widths[at] = len(m[0])
+        else:
+            raw = bytes.fromhex(m[0].replace("%", "")).decode("utf-8", "surrogateescape")
+            for c in raw:
+                bad = "\udc80" <= c <= "\udcff"
+                if not bad:
+                    widths[at] = 3 * len(c.encode())
+                at += 3 if bad else 1
+        shift += len(m[0]) - len(text)
+    ends = np.cumsum(widths)
+    return _Places(ends - widths, ends)
+
+
+def find_secrets(text: str | None, limit: int = INFLATE_LIMIT, mapped: bool = False) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    """(base, more): the base kinds' findings in the text itself, and all that the method adds; both sorted, by position.
+
+    mapped: findings in decoded layers have the span of what they were decoded from, not of the whole outermost run.
+    """
     if not text:
         return [], []
     rank = {k: i for i, k in enumerate(KINDS)}
     base = sorted(scan(text), key=lambda x: (x[0], rank[x[2]]))
     more = set(scan_more(text))
     met = {hashlib.blake2b(text.encode()).digest()}
-    work = deque((start, end, route, out) for start, end, route, out in unwrap(text, limit))
+    known = {*base, *more}
+    work = deque((start, end, route, out, _places(text[start:end], route, out) if mapped else None) for start, end, route, out in unwrap(text, limit))
     while work:
-        start, end, route, layer = work.popleft()
+        start, end, route, layer, places = work.popleft()
         mark = hashlib.blake2b(layer.encode() + f":{start}:{end}".encode()).digest()
         if mark in met:
             continue
         met.add(mark)
-        more |= {(start, end, f"{kind}+{route}") for _, _, kind in (*scan(layer), *scan_more(layer))}
-        work.extend((start, end, f"{route}.{step}", out) for _, _, step, out in unwrap(layer, limit) if out != layer)
+        for a, b, kind in (*scan(layer), *scan_more(layer)):
+            if not mapped:
+                more.add((start, end, f"{kind}+{route}"))
+            elif (own := (start + places.span(a, b)[0], start + places.span(a, b)[1], kind)) not in known:
+                known.add(own)
+                more.add((*own[:2], f"{kind}+{route}"))
+        for a, b, step, out in unwrap(layer, limit):
+            if out == layer:
+                continue
+            if mapped:
+                inner, (lo, hi) = _places(layer[a:b], step, out), places.span(a, b)
+                lows, highs = places.lo[a + inner.lo] - lo, places.hi[a + inner.hi - 1] - lo
+                work.append((start + lo, start + hi, f"{route}.{step}", out, _Places(lows, highs)))
+            else:
+                work.append((start, end, f"{route}.{step}", out, None))
     return base, sorted(more)
 
 
@@ -251,7 +313,7 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [find_secrets(t, limit) for t in part.column(1).to_pylist()]
+                found = [find_secrets(t, limit, mapped=True) for t in part.column(1).to_pylist()]
                 listed = [pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in f[i]] for f in found], span) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *listed], ["key", "base", "more"])
 
@@ -260,9 +322,9 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
     return rows.mapInArrow(run, f"key long, base {kind}, more {kind}").withColumnRenamed("key", key)
 
 
-def redact(text: str | None, limit: int = INFLATE_LIMIT, mark: str = "<secret>") -> str | None:
-    """The text with every finding's span, its own or its outermost run's, replaced by a mark; overlapping spans by one."""
-    base, more = find_secrets(text, limit)
+def redact(text: str | None, limit: int = INFLATE_LIMIT, mark: str = "<secret>", mapped: bool = False) -> str | None:
+    """The text with every finding's span, as find_secrets gives it, replaced by a mark; overlapping spans by one."""
+    base, more = find_secrets(text, limit, mapped)
     if not base and not more:
         return text
     out, at, until = [], 0, -1
@@ -282,7 +344,7 @@ def redact_documents(docs: DataFrame, text: str = "text", limit: int = INFLATE_L
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 columns = list(part.columns)
-                columns[place] = pa.array([redact(t, limit, mark) for t in columns[place].to_pylist()], pa.string())
+                columns[place] = pa.array([redact(t, limit, mark, mapped=True) for t in columns[place].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
 
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))

@@ -114,3 +114,30 @@ def test_undecodable_escapes_and_further_members_hide_nothing():
     for pack in (gzip.compress, bz2.compress):
         run = base64.b64encode(pack(b"Some first member") + pack(b"middle one, ") + pack(f"key {KEY} end".encode())).decode()
         assert any(k.startswith("access+base64.") for _, _, k in secrets.find_secrets(f"x {run} y")[1])
+
+
+def test_mapped_spans_leave_the_rest_of_a_run(spark):
+    hidden = "".join(f"%{ord(c):02x}" for c in KEY)
+    escaped = "".join(f"\\u{ord(c):04x}" for c in KEY)
+    deep = base64.b64encode(f"some words first, {KEY} and some last".encode()).decode()
+    cases = {
+        "a=1&name=%C3%A9%E9x&long=" + "y" * 3000 + "&token=abcdef99&z=%20": ("token=abcdef99", None),
+        f'{{"name":"\\u00e9","pad":"{"p" * 500}","id":"{"0f" * 12}","n":"\\u0041"}}': ("0f" * 12, None),
+        f"x=%20&k={hidden}&rest=%C3%A9": (hidden, "access+url"),
+        f'{{"k":"\\u00e9{escaped}\\u00e9","rest":1}}': (escaped, "access+unicode"),
+        f"q=%20&d={deep}&e=%20": (None, "access+base64"),
+        "q=%20&d=" + "".join(f"%{ord(c):02x}" for c in deep) + "&e=%20": (None, "access+url.base64"),
+    }
+    for text, (secret, kind) in cases.items():
+        base, more = secrets.find_secrets(text, mapped=True)
+        assert len(base) + len(more) == 1 and (kind is None) == bool(base), (text, base, more)
+        ((start, end, found),) = base + more
+        assert kind in (None, found)
+        if secret:
+            assert text[start:end] == secret
+        else:
+            a = text.index("d=") + 2
+            assert a < start < end < text.index("&e=") and end - start < 0.7 * (text.index("&e=") - a)
+        assert secrets.redact(text, mapped=True) == text[:start] + "<secret>" + text[end:]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.text for r in secrets.redact_documents(df).collect()} == {secrets.redact(t, mapped=True) for t in cases}
