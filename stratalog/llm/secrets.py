@@ -4,8 +4,8 @@ Every text starts as one layer. A layer is scanned by the rules, and every encod
 escapes, base64 with an optional zlib, gzip or bzip2 body inside) is decoded into a new layer, which joins the worklist with
 the place in the whole text that its run has. Layers that were met before are not decoded again, so cycles end; and a
 decoded layer is always shorter than its run, so depth is bounded without a limit that drops cases. Compressed bodies may
-be longer than their run; their total size is bounded by `inflate_limit`, a documented parameter against
-decompression bombs.
+be longer than their run; their total size is bounded by `limit`, a documented parameter against decompression bombs. With
+`mapped` a body beyond it is scanned as far as the limit, and the row shows the body as a finding of kind `unread+` route.
 
 The kind of a finding in a decoded layer has a `+` and the route, for example `access+base64`. Its span is that of its
 outermost run in the text, or, with `mapped` as in the queries, that of the characters that it was decoded from: escapes map
@@ -92,8 +92,8 @@ def _readable(data: bytes) -> str | None:
     return text if text and sum(c.isprintable() or c in "\t\r\n" for c in text) >= 0.95 * len(text) else None
 
 
-def _inflate(data: bytes, limit: int) -> tuple[str, bytes] | None:
-    """What a compressed body holds, of all its members, and how it was packed; None if it is none, is broken, or exceeds the limit."""
+def _inflate(data: bytes, limit: int) -> tuple[str, bytes, bool] | None:
+    """How a compressed body was packed, what it holds, of all its members, and whether that is all of it within the limit; None if it is none or is broken."""
     packer, magic, machine = "", b"", None
     if data[:2] == b"\x1f\x8b":
         packer, magic, machine = "gzip", b"\x1f\x8b", lambda: zlib.decompressobj(31)
@@ -118,13 +118,15 @@ def _inflate(data: bytes, limit: int) -> tuple[str, bytes] | None:
         except (zlib.error, OSError, ValueError, EOFError):
             break
         total += len(out)
-        if not member.eof or total > limit:
+        if total > limit:
+            return packer, b"".join([*members, out])[:limit], False
+        if not member.eof:
             break
         members.append(out)
         at = min(len(data), at + size) - len(member.unused_data)
         while data.startswith(b"\0", at):
             at += 1
-    return (packer, b"".join(members)) if members else None
+    return (packer, b"".join(members), True) if members else None
 
 
 def _unescape(m: re.Match) -> str:
@@ -132,8 +134,11 @@ def _unescape(m: re.Match) -> str:
     return chr(at) if at < 0x110000 and not 0xD800 <= at < 0xE000 else m[0]
 
 
-def _base64(run: str, limit: int) -> Iterator[tuple[str, str]]:
-    """Readable contents of a base64 run. Data that came to be read as text, or that unpacks to text, counts."""
+def _base64(run: str, limit: int, partial: bool = False) -> Iterator[tuple[str, str | None]]:
+    """Readable contents of a base64 run. Data that came to be read as text, or that unpacks to text, counts.
+
+    partial: of a body beyond the limit the part within it counts too, and None stands for the rest.
+    """
     body = run.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) % 4 == 1 or not (re.search("[A-Z]", run) and re.search("[a-z]", run)):
         return
@@ -150,11 +155,16 @@ def _base64(run: str, limit: int) -> Iterator[tuple[str, str]]:
             return
         route, data = f"{route}.{inner[0]}", inner[1]
         total += len(data)
-        if total >= limit:
+        if not inner[2]:
+            if partial:
+                # A character that is cut at the end is no reason to skip the rest.
+                if (text := next((t for cut in range(min(4, len(data))) if (t := _readable(data[: len(data) - cut])) is not None), None)) is not None:
+                    yield route, text
+                yield route, None
             return
 
 
-def _lines(text: str, limit: int) -> Iterator[tuple[int, int, list[tuple[str, str]]]]:
+def _lines(text: str, limit: int, partial: bool) -> Iterator[tuple[int, int, list[tuple[str, str | None]]]]:
     """(start, end, contents) of base64 that goes over several lines.
 
     All lines of a block are taken first; then without a first or last one that may be no part of it, such as a PEM mark; then
@@ -177,7 +187,7 @@ def _lines(text: str, limit: int) -> Iterator[tuple[int, int, list[tuple[str, st
             if j - i < 2 or any(i < y and x < j for x, y in done):
                 continue
             pad = m[0][len(m[0].rstrip("=")) :] if j == n else ""
-            if out := list(_base64("".join(text[a:b] for a, b in rows[i:j]) + pad, limit)):
+            if out := list(_base64("".join(text[a:b] for a, b in rows[i:j]) + pad, limit, partial)):
                 done.append((i, j))
                 yield rows[i][0], rows[j - 1][1] + len(pad), out
 
@@ -196,8 +206,8 @@ def _percents(run: str) -> str:
     return re.sub(r"(?:%[0-9A-Fa-f]{2})+", decoded, run)
 
 
-def unwrap(text: str, limit: int = INFLATE_LIMIT) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, route, decoded) of every encoded run of one layer."""
+def unwrap(text: str, limit: int = INFLATE_LIMIT, partial: bool = False) -> Iterator[tuple[int, int, str, str | None]]:
+    """(start, end, route, decoded) of every encoded run of one layer; partial: as in _base64."""
     if _PERCENT.search(text):
         for m in _URL_RUN.finditer(text):
             if "%" in m[0] and (out := _percents(m[0])) != m[0]:
@@ -208,7 +218,7 @@ def unwrap(text: str, limit: int = INFLATE_LIMIT) -> Iterator[tuple[int, int, st
                 yield m.start(), m.end(), "unicode", out
     joined = []
     if "\n" in text or "\r" in text:
-        for start, end, contents in _lines(text, limit):
+        for start, end, contents in _lines(text, limit, partial):
             joined.append((start, end))
             for route, out in contents:
                 yield start, end, route, out
@@ -219,7 +229,7 @@ def unwrap(text: str, limit: int = INFLATE_LIMIT) -> Iterator[tuple[int, int, st
             at += 1
         if at < len(joined) and joined[at][0] <= m.start():
             continue
-        for route, out in _base64(m[0], limit):
+        for route, out in _base64(m[0], limit, partial):
             yield m.start(), m.end(), route, out
 
 
@@ -276,9 +286,12 @@ def find_secrets(text: str | None, limit: int = INFLATE_LIMIT, mapped: bool = Fa
     more = set(scan_more(text))
     met = {hashlib.blake2b(text.encode()).digest()}
     known = {*base, *more}
-    work = deque((start, end, route, out, _places(text[start:end], route, out) if mapped else None) for start, end, route, out in unwrap(text, limit))
+    work = deque((start, end, route, out, _places(text[start:end], route, out or "") if mapped else None) for start, end, route, out in unwrap(text, limit, mapped))
     while work:
         start, end, route, layer, places = work.popleft()
+        if layer is None:
+            more.add((start, end, f"unread+{route}"))
+            continue
         mark = hashlib.blake2b(layer.encode() + f":{start}:{end}".encode()).digest()
         if mark in met:
             continue
@@ -289,11 +302,11 @@ def find_secrets(text: str | None, limit: int = INFLATE_LIMIT, mapped: bool = Fa
             elif (own := (start + places.span(a, b)[0], start + places.span(a, b)[1], kind)) not in known:
                 known.add(own)
                 more.add((*own[:2], f"{kind}+{route}"))
-        for a, b, step, out in unwrap(layer, limit):
+        for a, b, step, out in unwrap(layer, limit, mapped):
             if out == layer:
                 continue
             if mapped:
-                inner, (lo, hi) = _places(layer[a:b], step, out), places.span(a, b)
+                inner, (lo, hi) = _places(layer[a:b], step, out or ""), places.span(a, b)
                 lows, highs = places.lo[a + inner.lo] - lo, places.hi[a + inner.hi - 1] - lo
                 work.append((start + lo, start + hi, f"{route}.{step}", out, _Places(lows, highs)))
             else:

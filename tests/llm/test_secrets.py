@@ -141,3 +141,12 @@ def test_mapped_spans_leave_the_rest_of_a_run(spark):
         assert secrets.redact(text, mapped=True) == text[:start] + "<secret>" + text[end:]
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert {r.text for r in secrets.redact_documents(df).collect()} == {secrets.redact(t, mapped=True) for t in cases}
+
+
+def test_a_body_beyond_the_limit_is_scanned_as_far_as_it_goes_and_shown():
+    run = base64.b64encode(gzip.compress(f"key {KEY} é".encode() + "é ".encode() * 20_000, mtime=0)).decode()
+    for limit in (10_000, 10_001, 10_002):
+        assert secrets.find_secrets(f"x {run} y", limit, mapped=True)[1] == [(2, 2 + len(run), "access+base64.gzip"), (2, 2 + len(run), "unread+base64.gzip")]
+    late = base64.b64encode(zlib.compress(b"a " * 9_000 + KEY.encode())).decode()
+    assert secrets.find_secrets(f"x {late} y", 10_000, mapped=True)[1] == [(2, 2 + len(late), "unread+base64.zlib")]
+    assert secrets.redact(f"x {late} y", 10_000, mapped=True) == "x <secret> y"
