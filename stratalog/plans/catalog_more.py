@@ -111,8 +111,7 @@ def drain_match(spark, d):
 
 def _matrix(spark, d):
     buckets, instances = P.buckets(spark, d), P.instances(spark, d)
-    own = P.events(spark, d).where("user_id % 10 = 0").select(F.col("ord").alias("instance_index"))
-    labels = L.label_buckets(buckets, L.symptoms(instances, ["error"]).join(own, "instance_index", "left_semi"))
+    labels = L.label_buckets(buckets, L.symptoms(instances, ["error"]))
     members = L.window_members(labels, buckets, 30)
     features = G.build(members, buckets, L.window_instances(members, instances, ["error"]))
     return G.assemble(G.rows_of(members), features)

@@ -68,3 +68,12 @@ def test_drain(spark):
     again = {r.template_str: r.template_id for r in D.fit(spark.createDataFrame([(9, "user joe logged in"), (10, "brand new line")], "ord long, message_clean string"), known=fitted).collect()}
     before = {r.template_str: r.template_id for r in fitted.collect()}
     assert again["user <*> logged in"] == before["user <*> logged in"] and again["brand new line"] > max(before.values())
+
+
+def test_the_queries_take_every_error_as_a_symptom(spark):
+    from stratalog.plans import binding, catalog_more
+
+    rows, _ = catalog_more._matrix(spark, "/root/testdata/sf0.001")
+    errors = binding.instances(spark, "/root/testdata/sf0.001").where("template_id = 'error'")
+    positive = rows.where("label = 1")
+    assert positive.count() == errors.select("bucket_id").distinct().count() > 100
