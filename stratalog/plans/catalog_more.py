@@ -121,7 +121,7 @@ def _trained(spark, d):
     rows, names = _matrix(spark, d)
     rows = rows.persist()
     split = E.split_balanced(rows, order=("timestamp", "window_id"))
-    return T.train(split.where("split = 'train'"), maxIter=10), split, names
+    return T.train(split.where("split = 'train'")), split, names
 
 
 def gbt_score(spark, d):

@@ -77,3 +77,10 @@ def test_the_queries_take_every_error_as_a_symptom(spark):
     errors = binding.instances(spark, "/root/testdata/sf0.001").where("template_id = 'error'")
     positive = rows.where("label = 1")
     assert positive.count() == errors.select("bucket_id").distinct().count() > 100
+
+
+def test_the_queries_train_as_many_rounds_as_the_operator(spark):
+    from stratalog.plans import catalog_more
+
+    model, _, _ = catalog_more._trained(spark, "/root/testdata/sf0.001")
+    assert model.getNumTrees == T.PARAMETERS["maxIter"] == 100
