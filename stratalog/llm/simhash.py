@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, fresh
+from stratalog.llm.common import cut, fresh, slices
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).astype(np.int64)
 #: Variants that a part should hold, and the most that are sorted at once.
@@ -70,8 +70,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 fps = [_signed(majority(shingle_hashes(words_of(t), k, seed))) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
@@ -89,7 +88,7 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def forest_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The smallest index reachable from each of n by the links a-b: labels spread and are shortcut until nothing changes."""
     root = np.arange(n)
     while True:
@@ -174,7 +173,7 @@ def ball_links(prints: DataFrame, n: int, radius: int = 4, forest: bool = True)
         fps, nodes = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
         found = _pairs(fps, int(pdf["part"].iloc[0]), bits, half)
         if forest:
-            root = _forest(found[:, 0], found[:, 1], len(fps))
+            root = forest_of(found[:, 0], found[:, 1], len(fps))
             who = np.flatnonzero(root != np.arange(len(fps)))
             found = np.stack((who, root[who]), 1)
         return pd.DataFrame({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
@@ -251,8 +250,7 @@ def marks(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 sketches = [sketch_of(shingle_hashes(words_of(t), k, 42)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxh3_128_digest, sketches), pa.binary()), pa.array(sketches, pa.binary())], ["key", "digest", "sketch"])
 
@@ -288,8 +286,7 @@ def _banded(nodes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 keys = [band_keys(np.frombuffer(s, np.uint16)) for s in part.column(1).to_pylist()]
                 owner = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(owner, pa.int64())], ["key", "node"])
