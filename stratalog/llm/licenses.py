@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import slices
+
 #: Characters that words do not have, in lower-cased text; all others, every one beyond ASCII too, belong to words.
 _NO_WORD = bytes((*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)))
 _TO_SPACE = bytes.maketrans(_NO_WORD, b" " * len(_NO_WORD))
@@ -219,8 +221,7 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 texts = part.column(1).to_pylist()
                 base = [phrase_places(t.encode()) if t else (0, []) for t in texts]
                 yield pa.RecordBatch.from_arrays(

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import slices
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
@@ -75,9 +77,10 @@ def read_model(data: bytes) -> tuple[int, list[tuple[str, float, int]]]:
 
 
 class Pieces:
-    """An encoder and decoder for one vocabulary. memo: half the number of chunks whose ids are kept."""
+    """An encoder and decoder for one vocabulary. memo: half the number of chunks whose ids are kept, and the number of seams
+    and of ways over failure links. An entry takes some 250 bytes, so that all of them stay below 100 MB."""
 
-    def __init__(self, data: bytes, memo: int = 250_000, kind: int | None = None):
+    def __init__(self, data: bytes, memo: int = 100_000, kind: int | None = None):
         found, self.table = read_model(data)
         self.kind = kind or found
         self.memo_size, self.memo, self.older, self.known = memo, {}, {}, {}
@@ -291,6 +294,10 @@ class Pieces:
             extend(ids)
         return out
 
+    def forget(self) -> None:
+        """Drop what was kept of the texts; the automaton stays."""
+        self.memo, self.older, self.known = {}, {}, {}
+
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of ids; bytes that are no UTF-8 read as U+FFFD."""
         if ids is None:
@@ -309,7 +316,7 @@ _made: dict = {}
 
 
 def _of(data: bytes, kind: int | None) -> Pieces:
-    """One encoder for each vocabulary in a worker process, kept between its tasks."""
+    """One encoder for each vocabulary in a worker process, kept between its tasks without what it kept of their texts."""
     at = (hash(data), len(data), kind)
     if at not in _made:
         _made.clear()
@@ -323,12 +330,12 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _of(model, kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1, 500):
                 texts = part.column(1).to_pylist()
                 ids = [pieces.encode(t) for t in texts]
                 exact = [None if t is None else pieces.decode(i) == t for t, i in zip(texts, ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], ["key", "ids", "exact"])
+        pieces.forget()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "key long, ids array<int>, exact boolean").withColumnRenamed("key", key)

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import slices
+
 #: Base kinds, in the order in which ties at one start are listed.
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -324,8 +326,7 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1):
                 found = [find_secrets(t, limit, mapped=True) for t in part.column(1).to_pylist()]
                 listed = [pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in f[i]] for f in found], span) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *listed], ["key", "base", "more"])
@@ -354,8 +355,7 @@ def redact_documents(docs: DataFrame, text: str = "text", limit: int = INFLATE_L
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in slices(batch, place):
                 columns = list(part.columns)
                 columns[place] = pa.array([redact(t, limit, mark, mapped=True) for t in columns[place].to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))])
