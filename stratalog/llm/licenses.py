@@ -192,10 +192,20 @@ def detect(text: str | None) -> list[Detection]:
         return []
     table = rules()
     found = [(-table[i].priority, m.start() - m.end(), m.start(), i, m.end()) for i in active for m in table[i].pattern.finditer(low) if m.end() > m.start()]
-    kept: list[Detection] = []
+    # The furthest end of the kept ones that begin at or before a place, in a tree over the places.
+    place = {start: at for at, start in enumerate(sorted({f[2] for f in found}), 1)}
+    furthest, kept = [0] * (len(place) + 1), []
     for _, _, start, i, end in sorted(found):
-        if not any(k.start <= start and end <= k.end for k in kept):
+        at, most = place[start], 0
+        while at:
+            most = max(most, furthest[at])
+            at &= at - 1
+        if most < end:
             kept.append(Detection(start, end, table[i].label, table[i].confidence))
+            at = place[start]
+            while at < len(furthest):
+                furthest[at] = max(furthest[at], end)
+                at += at & -at
     return sorted(kept)
 
 
