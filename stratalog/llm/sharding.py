@@ -9,7 +9,7 @@ clockwise, in ring order. A shard's place numbers follow the same order, so they
 With slack 0 the rooms add up to the number of rows, which makes the counts of any two shards differ by one at most. With
 slack e every shard has room for (1 + e) times the mean, rounded up, and a shard more or less moves few rows.
 
-Defined cases: a null key hashes like any other value. Equal rows are counted before they are dealt, and take places side by
+Defined cases: a null key hashes like any other value. Different rows of one key share its point and are ranked in parts. Equal rows are counted before they are dealt, and take places side by
 side. Fewer rows than shards leave shards empty; an empty table gives an empty result.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 16384
+#: Parts in which the rows of one point are ranked, so that a key with very many different rows is no one task's.
+SALTS = 64
 
 
 def ring(shards: int, vnodes: int, seed: int, slots: int = SLOTS) -> list[list[int]]:
@@ -94,10 +96,16 @@ def assign_shards(rows: DataFrame, key: str, shards: int = 8, vnodes: int = 64,
     plain = rows.toDF(*own)
     key = own[rows.columns.index(key)]
     point = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(slots)).cast("int").alias("point")
-    told = plain.groupBy(*own).agg(F.count(F.lit(1)).alias("m")).withColumn("point", point)
-    parts = settle(told.groupBy("point").agg(F.sum("m").alias("n")), shards, vnodes, seed, slack, slots)
-    in_point = Window.partitionBy("point").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), *own)
-    ranked = told.select(*own, "point", "m", (F.sum("m").over(in_point.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("rank"))
+    salt = F.pmod(F.xxhash64(F.lit(seed + 2), *own), F.lit(SALTS)).cast("int")
+    told = plain.groupBy(*own).agg(F.count(F.lit(1)).alias("m")).withColumn("point", point).withColumn("salt", salt)
+    counts = told.groupBy("point", "salt").agg(F.sum("m").alias("n"))
+    parts = settle(counts.groupBy("point").agg(F.sum("n").alias("n")), shards, vnodes, seed, slack, slots)
+    # A point's rows are ranked in parts, each behind the rows of those before it.
+    before = Window.partitionBy("point").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("point", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    in_part = Window.partitionBy("point", "salt").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), *own)
+    ranked = told.select(*own, "point", "salt", "m", (F.sum("m").over(in_part.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("in_part"))
+    ranked = ranked.join(begins, ["point", "salt"]).select(*own, "point", "m", (F.col("begin") + F.col("in_part")).alias("rank"))
     each = ranked.join(parts, "point").where((F.col("rank") < F.col("last")) & (F.col("rank") + F.col("m") > F.col("first")))
     low, high = F.greatest("rank", "first"), F.least(F.col("rank") + F.col("m"), F.col("last")) - 1
     dealt = each.select(*own, "shard", "base", "first", F.explode(F.sequence(low, high)).alias("at"))
