@@ -20,9 +20,9 @@ ANY_WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = "[#*$%&|<>]"
 #: A word that ends a sentence, a quotation or a clause; a line of several words has one.
 SENTENCE_END = r"[.!?:;)\]\"'…。！？»”’](?:$|[\x20\x09-\x0D])"
-NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(?:home|about(?: us)?|contact(?: us)?|log ?in|sign (?:in|up)|register|next|previous|back to top|read more|share(?: this)?|menu|search|skip to content|site ?map|faq|help|tags?:.*|categor(?:y|ies):.*|posted (?:in|by|on) .*|page [0-9]+(?: of [0-9]+)?)[\x20\x09-\x0D]*$"
+NAVIGATION = r"(?i)^[\x20\x09-\x0D]*(?:home|about(?: us)?|contact(?: us)?|log ?in|sign (?:in|up)|register|next|previous|back to top|read more|share(?: this)?|menu|search|skip to content|site ?map|faq|help|tags?:.*|categor(?:y|ies):.*|posted (?:in|by|on) .*|page [0-9]+(?: of [0-9]+)?|startseite|[uü]ber uns|kontakt|anmelden|registrieren|weiterlesen|zur[uü]ck|nach oben|teilen|suche|accueil|[aà] propos|contactez-nous|connexion|s'inscrire|lire la suite|suivant|pr[eé]c[eé]dent|haut de page|partager|rechercher|inicio|acerca de|contacto|iniciar sesi[oó]n|registrarse|leer m[aá]s|siguiente|anterior|volver arriba|compartir|buscar)[\x20\x09-\x0D]*$"
 SEPARATORS = r"(?:^|[\x20\x09-\x0D])(?:[|>»·•/]|&gt;|&raquo;)(?:$|[\x20\x09-\x0D])"
-BOILERPLATE = r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookies? policy|we use cookies|enable javascript|javascript is (?:disabled|required)|lorem ipsum|click here|subscribe to our|powered by|follow us on"
+BOILERPLATE = r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookies? policy|we use cookies|enable javascript|javascript is (?:disabled|required)|lorem ipsum|click here|subscribe to our|powered by|follow us on|alle rechte vorbehalten|datenschutzerkl[aä]rung|nutzungsbedingungen|cookie-richtlinie|wir verwenden cookies|hier klicken|tous droits r[eé]serv[eé]s|politique de confidentialit[eé]|conditions d'utilisation|nous utilisons des cookies|cliquez ici|todos los derechos reservados|pol[ií]tica de privacidad|t[eé]rminos de uso|utilizamos cookies|haga clic aqu[ií]"
 
 
 def words_of(text: Column) -> Column:
@@ -81,7 +81,14 @@ def judge(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS, names
 
 
 def clean(docs: DataFrame, text: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
-    """The documents that stay, their text with the failing lines removed; n_chars, if there is one, follows."""
+    """The documents that stay, their text with the failing lines removed; n_chars, if there is one, follows.
+
+    The measures are one value that a generator hands on, so that the filter on the verdict does not repeat them.
+    """
     names = tuple(fresh(docs, *(f"qr_{n}" for n in NAMES)))
-    out = judge(docs, text, max_loss, names).where(names[-1]).withColumn(text, F.array_join(names[-2], "\n")).drop(*names)
+    (once,) = fresh(docs, "qr_once")
+    judged = judge(docs, text, max_loss, names)
+    kept = F.when(F.col(names[-1]), F.array(F.struct(F.array_join(names[-2], "\n").alias("text"))))
+    out = judged.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(kept).alias(once))
+    out = out.withColumn(text, F.col(f"{once}.text")).drop(once)
     return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
