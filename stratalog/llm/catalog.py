@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from stratalog.llm import queries_free, queries_native
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**queries_native.QUERIES, **queries_free.QUERIES, "pipeline": corpus_pipeline.run}
+    """The operators' queries; the pipeline, which lies outside this package, is added where the driver enters."""
+    return {**queries_native.QUERIES, **queries_free.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
