@@ -76,15 +76,17 @@ def sysinfo_parse(spark, d):
     ev = P.events(spark, d).where("ord % 50 = 0")
     n = F.col("ord") % 90
     text = F.concat(
-        F.lit("=" * 45 + "\n["), F.date_format("ts", "M/d/yyyy h:mm:ss a"), F.lit("] Periodic Information\n" + "=" * 45 + "\nCPU : "), n.cast("string"), F.lit(".5 %\nMemory usage: 40 %\nDisk: 7 %\n4 HDD drives\n2 SSD drives\nVolumes : "), (n + 1).cast("string"),
-        F.lit("\nHA State: Active\nLeader: Yes\nPeer: available\nNetwork\n eth0 10.0.0.1\n eth1 10.0.0.2\n\npool1 : 4 drives. 2 volumes. 1TB / 4TB\nNo degraded volumes\nRebuild: in progress\n"),
+        F.lit("=" * 45 + "\n["), F.date_format("ts", "M/d/yyyy h:mm:ss a"), F.lit("] Periodic Information\n" + "=" * 45 + "\nCPU Utilization: "), n.cast("string"),
+        F.lit(".5%\nMemory Utilization: 40%\nDisk Utilization: 7%\n4 HDD drives\n2 SSD drives\nVolumes : "), (n + 1).cast("string"),
+        F.lit("\nHA State : Active now\nIs node leader : True\nPeer node status : up, available - True\n---- Network ----\n 10.0.0.1\nmask 255.0.0.0\n10.0.0.2\n--------\n3 Manual Pools:\n"),
+        F.lit("pool1 : 4 drives. 2 volumes. 1TB / 4TB\nNo degraded volumes\nrebuild occurring\n"),
     )
     out = sysinfo.parse_reports(ev.select(text.alias("value"), "ord"))
     return out.select("ord", F.col("timestamp").alias("ts"), "cpu_util", "memory_util", "hdd_count", "ssd_count", "total_volumes", "ha_state", "is_leader", "peer_available", F.array_join("ip_addresses", ",").alias("ips"), "total_pools", F.get_json_object("pools_json", "$[0].util_pct").cast("double").alias("util_pct"), "degraded_volumes", "rebuild_active")
 
 
 SYSINFO_SQL = f"""WITH {SQL_EV} SELECT ord, date_trunc('second', ts) AS ts, ord % 90 + 0.5::DOUBLE AS cpu_util, 40.0::DOUBLE AS memory_util, 4 AS hdd_count, 2 AS ssd_count, CAST(ord % 90 + 1 AS INT) AS total_volumes, 'Active' AS ha_state, true AS is_leader, true AS peer_available,
-'10.0.0.1,10.0.0.2' AS ips, 1 AS total_pools, 25.0::DOUBLE AS util_pct, 0 AS degraded_volumes, true AS rebuild_active FROM ev WHERE ord % 50 = 0"""
+'10.0.0.1,10.0.0.2' AS ips, 3 AS total_pools, 25.0::DOUBLE AS util_pct, 0 AS degraded_volumes, true AS rebuild_active FROM ev WHERE ord % 50 = 0"""
 
 
 def sysinfo_json(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.functions.text import leading_number, megabytes_per_second, parse_ms, parse_time, sized
+from stratalog.functions.text import leading_number, let, megabytes_per_second, parse_ms, parse_time, sized
 
 DATED = r"(?i)^\s*(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d\d:\d\d\s+[AP]M|\d{4}-\d\d-\d\d[ T]\d\d:\d\d:\d\d)"
 BOX = "║"
@@ -35,32 +35,27 @@ def parse_row(line: Column) -> Column:
 
     Eight values or more are the boxed layout with units, six or seven the spaced one without.
     """
+
+    def row(cells: Column) -> Column:
+        cell = lambda i: F.get(cells, F.lit(i))
+        milliseconds = lambda i: F.coalesce(parse_ms(cell(i)), leading_number(cell(i)))
+        common = [parse_time(F.regexp_replace(cell(0), r"\s+", " ")), F.lit("latency_table_row")]
+        boxed = [*common, leading_number(cell(1)), leading_number(cell(2)), milliseconds(3), milliseconds(4), *(sized(cell(i)) for i in (5, 6, 7, 8))]
+        none = F.lit(None).cast("long")
+        spaced = [*common, leading_number(cell(3)), leading_number(cell(4)), leading_number(cell(1)), leading_number(cell(2)), none, none, megabytes_per_second(cell(5)), megabytes_per_second(cell(6))]
+        named = [F.struct(*(c.alias(n) for c, n in zip(values, COLUMNS, strict=True))) for values in (boxed, spaced)]
+        return F.when(F.size(cells) >= 9, named[0]).when(F.size(cells) >= 7, named[1])
+
     cells = F.filter(F.transform(F.split(line, rf"\s*{BOX}\s*|\s{{2,}}"), lambda c: F.trim(c)), lambda c: c != "")
-    cell = lambda i: F.get(cells, F.lit(i))
-    milliseconds = lambda i: F.coalesce(parse_ms(cell(i)), leading_number(cell(i)))
-    size = lambda i: sized(cell(i)).cast("long")
-    boxed = F.size(cells) >= 9
-    row = F.struct(
-        parse_time(F.regexp_replace(cell(0), r"\s+", " ")).alias("ts"),
-        F.lit("latency_table_row").alias("metric"),
-        F.when(boxed, leading_number(cell(1))).otherwise(leading_number(cell(3))).alias("read_iops"),
-        F.when(boxed, leading_number(cell(2))).otherwise(leading_number(cell(4))).alias("write_iops"),
-        F.when(boxed, milliseconds(3)).otherwise(leading_number(cell(1))).alias("read_latency_ms"),
-        F.when(boxed, milliseconds(4)).otherwise(leading_number(cell(2))).alias("write_latency_ms"),
-        F.when(boxed, size(5)).alias("read_size_bytes"),
-        F.when(boxed, size(6)).alias("write_io_size_bytes"),
-        F.when(boxed, size(7)).otherwise(megabytes_per_second(cell(5))).alias("read_throughput_bps"),
-        F.when(boxed, size(8)).otherwise(megabytes_per_second(cell(6))).alias("write_throughput_bps"),
-    )
-    return F.when(line.rlike(DATED) & (F.size(cells) >= 7), row)
+    return F.when(line.rlike(DATED), let(cells, row))
 
 
 def parse_table(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
     """(records, errors): dated lines that cannot be read are errors, other lines headings."""
-    told = lines.withColumn("row", parse_row(F.col(column)))
     kept = [c for c in lines.columns if c != column]
-    good = told.where("row IS NOT NULL AND row.ts IS NOT NULL").select("row.*", *kept)
-    return good, told.where(F.col(column).rlike(DATED) & F.col("row.ts").isNull()).select(column, *kept)
+    rows = F.filter(F.array(parse_row(F.col(column))), lambda r: r["ts"].isNotNull())
+    good = lines.select(F.explode(rows).alias("row"), *kept).select("row.*", *kept)
+    return good, lines.where(F.col(column).rlike(DATED)).where(F.size(rows) == 0).select(column, *kept)
 
 
 def parse_json(texts: DataFrame, column: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.functions.text import parse_time, terabytes
+from stratalog.functions.text import let, parse_time, terabytes
 
 #: Record columns with their type and what a JSON line without them counts as.
 FIELDS = {
@@ -14,52 +14,106 @@ FIELDS = {
     "total_pools": ("int", 0), "volumes_json": ("string", "{}"), "degraded_volumes": ("int", 0), "rebuild_active": ("boolean", False),
 }
 FRAME = r"={40,}"
-TITLE = r"\[(\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d [AP]M)\]\s*Periodic Information"
+TITLE = r"\[(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d\d:\d\d\s+[AP]M)\]\s*Periodic Information"
+
+
+DASHES = "-{4,}"
 
 
 def sections(texts: DataFrame, column: str = "value") -> DataFrame:
-    """Whole reports cut into sections (section): each from its dated title to the next."""
-    starts = F.split(F.regexp_replace(F.col(column), rf"(?:{FRAME}\s*)?(?={TITLE})", "\u0001"), "\u0001")
-    return texts.select(F.explode(starts).alias("section"), *(c for c in texts.columns if c != column)).where(F.col("section").rlike(TITLE)).distinct()
+    """Whole reports cut into sections (section): each from its dated title to the next, or to a frame that opens something else."""
+    starts = F.split(F.regexp_replace(F.col(column), rf"(?={TITLE})", "\u0001"), "\u0001")
+    # The frame below the title belongs to it; the next one ends the section.
+    open_title = rf"^({TITLE}[^\n]*)\n\s*{FRAME}"
+    cut = F.transform(starts, lambda s: F.get(F.split(F.regexp_replace(s, open_title, "$1"), FRAME), F.lit(0)))
+    kept = [c for c in texts.columns if c != column]
+    return texts.select(F.explode(F.filter(cut, lambda s: s.rlike(f"^{TITLE}"))).alias("section"), *kept).distinct()
+
+
+def _rest(text: Column, label: str) -> Column:
+    """What stands behind a label and a colon on its line; empty without the label. Blanks of a label stand for any."""
+    return F.trim(F.regexp_extract(text, "(?im)" + label.replace(" ", r"\s+") + r"\s*:[ \t]*([^\r\n]*)", 1))
+
+
+def _number(text: Column, kind: str) -> Column:
+    """The number that a text begins with; null without one."""
+    return F.nullif(F.regexp_extract(text, r"^(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast(kind)
+
+
+def _last_count(text: Column, what: str) -> Column:
+    found = F.regexp_extract_all(text, F.lit(rf"(\d+)\s+{what}"), F.lit(1))
+    return F.coalesce(F.get(found, F.size(found) - 1).try_cast("int"), F.lit(0))
 
 
-def _first(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+def _block(text: Column, heading: str) -> Column:
+    """The lines below a heading with dashes on its own line or beside it, up to the next line with dashes."""
+    line = rf"[^\n]*{heading}[^\n]*\n"
+    dashed = rf"(?:[^\n]*{DASHES}[^\n]*\n{line}|[^\n]*{DASHES}{line}|[^\n]*{heading}[^\n]*{DASHES}[^\n]*\n|{line}[^\n]*{DASHES}[^\n]*\n)"
+    below = F.regexp_extract(F.concat(text, F.lit("\n")), rf"(?:^|\n){dashed}(?:[^\n]*{DASHES}[^\n]*\n)?((?:(?![^\n]*{DASHES})[^\n]*\n)*)", 1)
+    return F.transform(F.split(below, "\n"), lambda x: F.trim(F.regexp_replace(x, "\r", "")))
 
 
-def _last(text: Column, pattern: str) -> Column:
-    return F.element_at(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x != ""), -1)
+def _size_tb(text: Column) -> Column:
+    """Decimal terabytes of `0.06TB`; a number without a known unit counts as such already."""
+    return let(F.trim(text), lambda t: _number(t, "double") * F.coalesce(terabytes(F.lit(1.0), F.regexp_extract(t, r"([A-Za-z]*)$", 1)), F.lit(1.0)))
+
+
+def parse_pool(line: Column) -> Column:
+    """struct of a line `name : 9 drives. 6 volumes. 0.06TB / 161.9TB`, read part by part; null for other lines."""
+
+    def of_parts(parts: Column) -> Column:
+        part = lambda i: F.coalesce(F.trim(F.get(parts, F.lit(i))), F.lit(""))
+        sizes = F.split(part(3), "/")
+        used, capacity = F.get(sizes, F.lit(0)), F.get(sizes, F.lit(1))
+        fits = (part(0) != "") & ~part(0).rlike(r"\W") & part(1).rlike(r"^\d+\s+drives?$") & part(2).rlike(r"^\d+\s+volumes?$") & _number(F.trim(used), "double").isNotNull() & _number(F.trim(capacity), "double").isNotNull()
+        row = let(
+            F.struct(_size_tb(used).alias("used"), _size_tb(capacity).alias("capacity")),
+            lambda s: F.struct(
+                part(0).alias("name"), _number(part(1), "int").alias("drives"), _number(part(2), "int").alias("volumes"), s["used"].alias("used_tb"), s["capacity"].alias("capacity_tb"),
+                F.when(s["capacity"] > 0, s["used"] / s["capacity"] * 100).otherwise(0.0).alias("util_pct"),
+            ),
+        )
+        return F.when(fits, row)
+
+    # Full stops end a part only before a blank, so that decimals stay whole.
+    return F.when(F.instr(line, ":") > 0, let(F.split(F.regexp_replace(line, r"^([^:]*):", "$1. "), r"\.\s", 4), of_parts))
 
 
 def parse_section(text: Column) -> Column:
-    """struct of one section's fields."""
-    percent = lambda name: F.coalesce(_first(text, rf"(?i){name}[^\n%\d]*(\d+(?:\.\d+)?)\s*%").try_cast("double"), F.lit(0.0))
-    last = lambda p: F.when(F.regexp_count(text, F.lit(p)) > 0, _last(text, p).try_cast("int")).otherwise(0)
-    pool = r"(?im)^\s*([\w.-]+)\s*:\s*(\d+)\s+drives?\.\s*(\d+)\s+volumes?\.\s*([\d.]+)\s*([KMGTP]?B)\s*/\s*([\d.]+)\s*([KMGTP]?B)"
-    found = F.regexp_extract_all(text, F.lit(pool), F.lit(0))
-    part = lambda x, i: F.regexp_extract(x, pool, i)
-    pools = F.transform(found, lambda x: F.struct(part(x, 1).alias("name"), part(x, 2).cast("int").alias("drives"), part(x, 3).cast("int").alias("volumes"), terabytes(part(x, 4).cast("double"), part(x, 5)).alias("used_tb"), terabytes(part(x, 6).cast("double"), part(x, 7)).alias("capacity_tb")))
-    pools = F.transform(pools, lambda p: p.withField("util_pct", F.when(p["capacity_tb"] > 0, F.round(100 * p["used_tb"] / p["capacity_tb"], 2)).otherwise(0.0)))
-    network = F.regexp_extract(text, r"(?is)Network(.*?)(?:\n\s*\n|$)", 1)
-    degraded = F.when(text.rlike("(?i)no degraded volumes"), 0).otherwise(F.coalesce(_first(text, r"(?i)(\d+)\s+degraded volumes?").try_cast("int"), _first(text, r"(?i)degraded volumes?\s*:\s*(\d+)").try_cast("int"), F.lit(0)))
-    return F.struct(
-        parse_time(F.regexp_extract(text, TITLE, 1)).alias("timestamp"),
-        percent("CPU").alias("cpu_util"), percent("Mem(?:ory)?").alias("memory_util"), percent("Disk").alias("disk_util"),
-        last(r"(?i)(\d+)\s+HDD").alias("hdd_count"), last(r"(?i)(\d+)\s+SSD").alias("ssd_count"),
-        F.coalesce(_first(text, r"(?im)^\s*Volumes\s*:\s*(\d+)").try_cast("int"), F.lit(0)).alias("total_volumes"),
-        F.coalesce(_first(text, r"(?im)HA State\s*:\s*(\S[^\n]*?)\s*$"), F.lit("Unknown")).alias("ha_state"),
-        F.coalesce(F.lower(_first(text, r"(?im)Leader\s*:\s*(\w+)")).isin("true", "yes"), F.lit(False)).alias("is_leader"),
-        F.coalesce(F.lower(_first(text, r"(?im)Peer(?: Available)?\s*:\s*(\w+)")).isin("true", "yes", "available"), F.lit(False)).alias("peer_available"),
-        F.regexp_extract_all(network, F.lit(r"(\d{1,3}(?:\.\d{1,3}){3})"), F.lit(1)).alias("ip_addresses"),
-        F.to_json(pools).alias("pools_json"), F.size(pools).alias("total_pools"), F.lit("{}").alias("volumes_json"), degraded.alias("degraded_volumes"),
-        (text.rlike("(?i)rebuild[^\n]*(?:active|in progress|running)") & ~text.rlike("(?i)no (?:active )?rebuild")).alias("rebuild_active"),
+    """struct of one section's fields; each is read by its label from its own line."""
+    percent = lambda name: F.coalesce(_number(_rest(text, f"{name} Utilization"), "double"), F.lit(0.0))
+    lines = F.split(text, "\r?\n")
+    true = lambda value: F.startswith(F.lower(value), F.lit("true"))
+    peer = F.regexp_extract(_rest(text, "Peer node status"), r"(?i).*available\s*-\s*(\w+)", 1)
+    counted = F.regexp_extract(text, r"(\d+)\s+(?:Manual\s+)?Pools?:", 1).try_cast("int")
+    volumes = F.filter(_block(text, "Volumes"), lambda x: F.contains(x, F.lit("Volume")) & F.contains(x, F.lit(":")))
+    details = F.transform(volumes, lambda x: F.struct(F.trim(F.replace(F.substring_index(x, ":", 1), F.lit("Volume"), F.lit(""))).alias("id"), F.trim(F.get(F.split(x, ":"), F.lit(1))).alias("details")))
+    found = F.struct(
+        F.filter(F.transform(lines, parse_pool), lambda p: p.isNotNull()).alias("pools"), details.alias("volumes"),
+        F.filter(_block(text, "Network"), lambda x: x.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")).alias("ips"),
+    )
+    json = lambda rows: F.when(F.size(rows) > 0, F.to_json(rows)).otherwise("{}")
+    return let(
+        found,
+        lambda f: F.struct(
+            parse_time(F.regexp_replace(F.regexp_extract(text, TITLE, 1), r"\s+", " ")).alias("timestamp"),
+            percent("CPU").alias("cpu_util"), percent("Memory").alias("memory_util"), percent("Disk").alias("disk_util"),
+            _last_count(text, "HDD drives").alias("hdd_count"), _last_count(text, "SSD drives").alias("ssd_count"),
+            F.coalesce(_number(_rest(text, "Volumes"), "int"), F.lit(0)).alias("total_volumes"),
+            F.coalesce(F.nullif(F.regexp_extract(_rest(text, "HA State"), r"^(\w+)", 1), F.lit("")), F.lit("Unknown")).alias("ha_state"),
+            true(_rest(text, "Is node leader")).alias("is_leader"), true(peer).alias("peer_available"), f["ips"].alias("ip_addresses"),
+            json(f["pools"]).alias("pools_json"), F.coalesce(F.nullif(counted, F.lit(0)), F.size(f["pools"])).alias("total_pools"), json(f["volumes"]).alias("volumes_json"),
+            _last_count(F.regexp_extract(text, r"(\d+\s+degraded\s+volumes?)", 1), r"degraded\s+volumes?").alias("degraded_volumes"),
+            text.rlike(r"(?i)rebuild\s+occurring").alias("rebuild_active"),
+        ),
     )
 
 
 def parse_reports(texts: DataFrame, column: str = "value") -> DataFrame:
     """Records of whole reports; a section without a readable time is left out, one that repeats counts once."""
-    own = sections(texts, column)
-    return own.withColumn("r", parse_section(F.col("section"))).where("r.timestamp IS NOT NULL").select("r.*", *(c for c in texts.columns if c != column))
+    kept = [c for c in texts.columns if c != column]
+    rows = F.filter(F.array(parse_section(F.col("section"))), lambda r: r["timestamp"].isNotNull())
+    return sections(texts, column).select(F.explode(rows).alias("r"), *kept).select("r.*", *kept)
 
 
 def parse_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -76,3 +130,8 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     reports = F.col("value").rlike(TITLE)
     lines = whole.where(~reports & F.col("source_file").endswith(".json")).select(F.explode(F.split("value", "\r?\n")).alias("value"), "source_file")
     return parse_reports(whole.where(reports)).unionByName(parse_json_lines(lines)).withColumn("ord", F.monotonically_increasing_id())
+
+
+def read_directory(spark: SparkSession, folder: str, pattern: str = "*Information*") -> DataFrame:
+    """Records of the files of a folder whose names fit a pattern."""
+    return read(spark, [f"{folder}/{pattern}"])
