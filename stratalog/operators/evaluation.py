@@ -2,41 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.operators import ordered as O
+
+
+def _span(order: tuple[str, ...]):
+    """The spans of an order whose first column is a time."""
+    return O.hours(F.col(order[0]))
+
 
 def split_balanced(rows: DataFrame, share: float = 0.8, order: tuple[str, ...] = ("timestamp", "bucket_id")) -> DataFrame:
-    """rows with `split`: of each label the first share is train and the rest test; with two rows or more, one at least is test."""
-    own = Window.partitionBy("label")
-    n, k = F.count(F.lit(1)).over(own), F.row_number().over(own.orderBy(*order))
+    """rows with `split`: of each label the first share is train and the rest test; with two rows or more, one at least is test.
+
+    The first column of the order is a time.
+    """
+    placed = O.row_numbers(rows, _span(order), [F.col(c) for c in order], "split_k", "split_n", by=("label",))
+    n = F.col("split_n")
     cut = F.when(n > 1, F.least(n - 1, F.greatest(F.lit(1), F.floor(n * share)))).otherwise(n)
-    return rows.withColumn("split", F.when(k <= cut, "train").otherwise("test"))
+    return placed.withColumn("split", F.when(F.col("split_k") <= cut, "train").otherwise("test")).drop("split_k", "split_n")
 
 
 def split_chronological(rows: DataFrame, train: float = 0.7, validation: float = 0.15, order: tuple[str, ...] = ("timestamp", "bucket_id")) -> DataFrame:
-    k, n = F.row_number().over(Window.orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy())
-    return rows.withColumn("split", F.when(k <= F.floor(n * train), "train").when(k <= F.floor(n * (train + validation)), "validation").otherwise("test"))
+    placed = O.row_numbers(rows, _span(order), [F.col(c) for c in order], "split_k", "split_n")
+    k, n = F.col("split_k"), F.col("split_n")
+    return placed.withColumn("split", F.when(k <= F.floor(n * train), "train").when(k <= F.floor(n * (train + validation)), "validation").otherwise("test")).drop("split_k", "split_n")
 
 
 def time_series_folds(rows: DataFrame, folds: int = 5, test_size: int | None = None, order: tuple[str, ...] = ("timestamp", "bucket_id")) -> DataFrame:
     """(fold, split, ...): the last folds * size rows are tests, one after the other; each is trained on all before it."""
     if folds < 1:
         raise ValueError("at least one fold is needed")
-    k, n = F.row_number().over(Window.orderBy(*order)), F.count(F.lit(1)).over(Window.partitionBy())
-    placed = rows.withColumn("k", k).withColumn("size", F.floor(n / (folds + 1)) if test_size is None else F.lit(test_size)).withColumn("first", n - F.col("size") * folds)
+    placed = O.row_numbers(rows, _span(order), [F.col(c) for c in order], "fold_k", "fold_n")
+    size = F.floor(F.col("fold_n") / (folds + 1)) if test_size is None else F.lit(test_size)
+    placed = placed.withColumn("fold_size", size).withColumn("fold_first", F.col("fold_n") - F.col("fold_size") * folds)
     each = placed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    start = F.col("first") + F.col("fold") * F.col("size")
-    split = F.when(F.col("k") <= start, "train").when(F.col("k") <= start + F.col("size"), "test")
-    return each.withColumn("split", split).where("split IS NOT NULL").drop("k", "size", "first")
+    start = F.col("fold_first") + F.col("fold") * F.col("fold_size")
+    split = F.when(F.col("fold_k") <= start, "train").when(F.col("fold_k") <= start + F.col("fold_size"), "test")
+    return each.withColumn("split", split).where("split IS NOT NULL").drop("fold_k", "fold_n", "fold_size", "fold_first")
 
 
 def auc(scored: DataFrame, score: str = "probability", label: str = "label", tie: str = "bucket_id") -> DataFrame:
-    """Rank sum without averaging of ties; 0.5 with one class only.
-
-    Equal scores rank by `tie`. The rank is global, over one narrow row for each window of a test set.
-    """
-    ranked = scored.select(F.row_number().over(Window.orderBy(score, tie)).alias("r"), F.col(label).alias("y"))
+    """Rank sum without averaging of ties; 0.5 with one class only. Equal scores rank by `tie`."""
+    narrow = scored.select(F.col(score).alias("s"), F.col(tie).alias("t"), F.col(label).alias("y"))
+    ranked = O.row_numbers(narrow, O.slices(F.col("s")), [F.col("s"), F.col("t")], "r")
     told = ranked.agg(F.sum(F.when(F.col("y") == 1, F.col("r"))).alias("s"), F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") != 1).alias("n"))
     value = (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))
     return told.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).otherwise(0.5).alias("auc"))
@@ -44,9 +54,9 @@ def auc(scored: DataFrame, score: str = "probability", label: str = "label", tie
 
 def negative_quantile(scored: DataFrame, rate: float = 0.001, score: str = "probability", label: str = "label") -> DataFrame:
     """(threshold): the k-th largest negative score, k = max(1, ceil(rate * negatives)); no row without negatives."""
-    negative = scored.where(F.col(label) == 0)
-    k = F.greatest(F.lit(1), F.ceil(F.lit(rate) * F.count(F.lit(1)).over(Window.partitionBy())))
-    return negative.select(F.col(score).alias("threshold"), F.row_number().over(Window.orderBy(F.desc(score))).alias("r"), k.alias("k")).where("r = k").select("threshold")
+    negative = scored.where(F.col(label) == 0).select(F.col(score).alias("threshold"))
+    ranked = O.row_numbers(negative, -O.slices(F.col("threshold")), [F.desc("threshold")], "r", "n")
+    return ranked.where(F.col("r") == F.greatest(F.lit(1), F.ceil(F.lit(rate) * F.col("n")))).select("threshold")
 
 
 def confusion(scored: DataFrame, threshold: float, score: str = "probability", label: str = "label") -> DataFrame:

@@ -15,7 +15,7 @@ def asof_last(left: DataFrame, left_time: str, right: DataFrame, right_time: str
     cut into spans of time that are filled on their own, and each span then takes over the last row of the spans before
     it: one row for each span is all that a single task ever sees.
     """
-    hours = span_hours or 24
+    hours = span_hours or 1
     own = F.struct(*(F.col(c) for c in right_columns))
     rest = F.struct(*(F.col(c) for c in left.columns))
     tie = F.struct(*(F.col(c) for c in order)) if order else F.lit(0)

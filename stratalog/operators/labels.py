@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.timing import minutes_before, seconds_of
+from stratalog.operators import ordered as O
 
 
 def symptoms(instances: DataFrame, template_ids: list[str], substring: str | None = None, variables: dict[str, str] | None = None) -> DataFrame:
@@ -26,24 +27,29 @@ def label_buckets(buckets: DataFrame, symptom_instances: DataFrame) -> DataFrame
     """
     first = symptom_instances.groupBy("bucket_id").agg(F.min("ts").alias("symptom_time"))
     rows = buckets.select("bucket_id", "start_time", "end_time").join(first, "bucket_id", "left").withColumn("label", F.col("symptom_time").isNotNull().cast("int"))
-    following = F.lead("label").over(Window.orderBy("start_time"))
-    rows = rows.withColumn("following", following).where("label = 1 OR following = 0")
+    rows = O.following(rows, F.col("label"), O.hours(F.col("start_time")), [F.col("start_time")], "following").where("label = 1 OR following = 0")
     return rows.select("bucket_id", "start_time", "label", "symptom_time", F.coalesce("symptom_time", "end_time").alias("window_end"))
 
 
+def symptom_times(symptom_instances: DataFrame) -> DataFrame:
+    """(ts): the distinct times of symptoms."""
+    return symptom_instances.select("ts").where(F.col("ts").isNotNull()).distinct()
+
+
 def episodes(times: DataFrame, gap_minutes: float, column: str = "ts") -> DataFrame:
     """(episode, first time, last time, n): times further than the gap behind the one before begin an episode."""
-    order = Window.orderBy(column)
-    new = F.coalesce((seconds_of(F.col(column)) - seconds_of(F.lag(column).over(order)) > gap_minutes * 60).cast("int"), F.lit(1))
-    numbered = times.select(column).withColumn("new", new).withColumn("episode", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order, span = [F.col(column)], O.hours(F.col(column))
+    rows = O.previous(times.select(column), seconds_of(F.col(column)), span, order, "before")
+    new = F.coalesce((seconds_of(F.col(column)) - F.col("before") > gap_minutes * 60).cast("int"), F.lit(1))
+    numbered = O.running(rows.withColumn("new", new), F.col("new"), span, order, "episode")
     return numbered.groupBy("episode").agg(F.min(column).alias("first_ts"), F.max(column).alias("last_ts"), F.count(F.lit(1)).alias("n"))
 
 
 def gaps(times: DataFrame, column: str = "ts") -> DataFrame:
     """Positive minutes between distinct times in order."""
-    order = Window.orderBy(column)
-    minutes = (seconds_of(F.col(column)) - seconds_of(F.lag(column).over(order))) / 60
-    return times.select(column).where(F.col(column).isNotNull()).distinct().select(minutes.alias("minutes")).where("minutes > 0")
+    rows = times.select(column).where(F.col(column).isNotNull()).distinct()
+    told = O.previous(rows, seconds_of(F.col(column)), O.hours(F.col(column)), [F.col(column)], "before")
+    return told.select(((seconds_of(F.col(column)) - F.col("before")) / 60).alias("minutes")).where("minutes > 0")
 
 
 def gap_stats(gap_rows: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.timing import seconds_of
+from stratalog.operators import ordered as O
 
 
 def window_means(members: DataFrame, contributions: DataFrame) -> DataFrame:
@@ -42,6 +43,11 @@ def ordered_pairs(events: DataFrame, total: int, support: float = 0.2) -> DataFr
     return pairs.withColumn("support", F.col("n") / total).where(F.col("support") >= support)
 
 
+def dominant_features(means: DataFrame) -> DataFrame:
+    """(window_id, dominant): each window's feature of largest absolute mean; names break ties."""
+    return means.groupBy("window_id").agg(F.min_by("feature", F.struct(-F.abs("mean"), F.col("feature"))).alias("dominant"))
+
+
 def clusters(means: DataFrame, top: int = 5, features: int = 5) -> DataFrame:
     """(dominant, windows, weight, rank, feature, mean): windows by the feature of largest absolute mean; names break ties."""
     first = Window.partitionBy("window_id").orderBy(F.desc(F.abs("mean")), "feature")
@@ -91,10 +97,10 @@ def pick_negatives(candidates: DataFrame, per_positive: int = 1, cap: int | None
     are picked on their own. A cap takes the first picks in time order.
     """
     rows = candidates.select("positive", "p_end", "negative", "delta")
-    order = Window.orderBy("p_end", "positive")
-    gap = F.coalesce(F.col("p_end") - F.lag("p_end").over(order), F.lit(0.0))
+    order, span = [F.col("p_end"), F.col("positive")], F.floor(F.col("p_end") / 86400)
     reach = rows.agg(F.max(F.abs("delta"))).first()[0] or 0.0
-    runs = rows.select("positive", "p_end").distinct().withColumn("run", F.sum((gap > 2 * reach).cast("int")).over(order))
+    runs = O.previous(rows.select("positive", "p_end").distinct(), F.col("p_end"), span, order, "before")
+    runs = O.running(runs.withColumn("gap", F.coalesce((F.col("p_end") - F.col("before") > 2 * reach).cast("int"), F.lit(0))), F.col("gap"), span, order, "run")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -121,6 +127,22 @@ def template_matched(labels: DataFrame, instances: DataFrame, required: list[str
     return (out.limit(cap) if cap else out).select("bucket_id", "window_end")
 
 
+def select_negatives(labels: DataFrame, mode: str, lookback_minutes: int, instances: DataFrame | None = None, required: list[str] = (), tolerance_minutes: int = 60, per_positive: int = 1, cap: int | None = None) -> DataFrame:
+    """(bucket_id, window_end): negatives by mode: none, time-matched, or template-matched (which hold a template of `required`).
+
+    No bucket is chosen twice. An unknown mode is an error.
+    """
+    if mode == "none" or per_positive <= 0:
+        return labels.select("bucket_id", "window_end").limit(0)
+    if mode == "time-matched":
+        picked = pick_negatives(negative_candidates(labels, lookback_minutes, tolerance_minutes), per_positive, cap)
+        return labels.where("label = 0").join(picked.select(F.col("negative").alias("bucket_id")), "bucket_id", "left_semi").select("bucket_id", "window_end").dropDuplicates(["bucket_id"])
+    if mode == "template-matched":
+        positives = labels.where("label = 1").count()
+        return template_matched(labels, instances, list(required), lookback_minutes, min(cap, positives * per_positive) if cap else positives * per_positive).dropDuplicates(["bucket_id"])
+    raise ValueError(f"negatives are none, time-matched or template-matched, not {mode}")
+
+
 def shap_aggregate(contributions: DataFrame, rows: DataFrame) -> DataFrame:
     """Per feature: means over all rows, mean absolute value, share of positive among non-zero, and means by class.
 
