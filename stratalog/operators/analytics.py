@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.timing import seconds_of
+from stratalog.operators.buckets import TEMPLATES_TYPE
 
-TEMPLATES_TYPE = "map<string,struct<template_str:string,instances:array<map<string,string>>>>"
 METRICS = ("read_latency_ms", "write_latency_ms", "read_iops", "write_iops", "cpu_util", "memory_util", "disk_util", "has_spike", "total_events", "error_count", "warning_count", "info_count", "verbose_count", "debug_count")
 
 
