@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions.timing import minutes_before, seconds_of
+from stratalog.sources.discovery import load_json, save_json
 
 SLICE_COUNTS = ("total_events", "error_count", "warning_count", "info_count")
 
@@ -70,13 +71,16 @@ def controls(window: DataFrame, anchor_bucket: str) -> DataFrame:
     return window.where(F.col("bucket_id") != anchor_bucket)
 
 
-def build_windows(buckets: DataFrame, instances: DataFrame, anchor: str, equivalents: list[str] = (), lead: int = 15, most: int = 60, filters: Column | None = None) -> dict | None:
-    """Events, metrics, events after the incident and a summary of the window before the first anchor; None without one."""
+def build_windows(buckets: DataFrame, instances: DataFrame, anchor: str, equivalents: list[str] = (), lead: int = 15, most: int = 60, filters: Column | None = None, manual: int | None = None) -> dict | None:
+    """Events, metrics, events after the incident and a summary of the window before the first anchor; None without one.
+
+    manual: minutes of look-back that are taken as they are, whatever the window holds.
+    """
     row = first_anchor(instances, anchor, list(equivalents)).first()
     if row is None:
         return None
     at = row["t_symptom"]
-    used, steps = lead_used(instances, at, anchor, list(equivalents), lead, most)
+    used, steps = lead_used(instances, at, anchor, list(equivalents), lead, most) if manual is None else (manual, 0)
     window = window_buckets(buckets, at, used, filters)
     own = instances.join(window.select("bucket_id").distinct(), "bucket_id", "left_semi")
     events = classified(own, at, anchor, list(equivalents))
@@ -85,6 +89,24 @@ def build_windows(buckets: DataFrame, instances: DataFrame, anchor: str, equival
     control = controls(own, row["bucket_id"]).withColumn("event_time", F.coalesce("ts", "start_time")).select(*kept, F.lit("control").alias("phase")).withColumn("window_type", F.lit("control"))
     metrics = reduce(DataFrame.unionByName, (slice_metrics(d).withColumn("window_type", F.lit(t)) for d, t in ((window, "positive"), (controls(window, row["bucket_id"]), "control"))))
     told = events.agg(F.count_distinct(F.when(F.col("candidate"), F.col("template_id"))).alias("n")).first()["n"]
-    first = window.agg(F.min("start_time").alias("t")).first()["t"]
-    summary = {"incident_id": anchor, "lead_time_minutes": lead, "lead_time_used_minutes": used, "expansion_count": steps, "t_symptom": str(at), "templates_seen": told, "actual_lead_time_minutes": max(0, int((at - first).total_seconds() // 60)) if first else 0}
+    first, covered = window.agg(F.min("start_time"), F.sum(seconds_of(F.col("end_time")) - seconds_of(F.col("start_time")))).first()
+    summary = {
+        "incident_id": anchor, "lead_time_minutes": lead, "lead_time_used_minutes": used, "expansion_count": steps, "manual_expansion_override": manual, "t_symptom": str(at), "templates_seen": told,
+        "anchors_analyzed": 1, "coverage_minutes": (covered or 0) / 60, "actual_lead_time_minutes": max(0, int((at - first).total_seconds() // 60)) if first else 0,
+    }
     return {"events": positive.unionByName(control), "metrics": metrics, "post_incident": events.where("phase = 'post_incident'").select(*kept, "phase"), "summary": summary}
+
+
+ARTIFACTS = ("events", "metrics", "post_incident")
+
+
+def write_artifacts(spark: SparkSession, found: dict, folder: str) -> None:
+    """Parquet tables of a window's events, metrics and later events, and its summary as JSON; empty tables keep their columns."""
+    for name in ARTIFACTS:
+        found[name].write.mode("overwrite").parquet(f"{folder}/window_{name}")
+    save_json(spark, f"{folder}/window_summary.json", found["summary"])
+
+
+def read_artifacts(spark: SparkSession, folder: str) -> dict:
+    """What write_artifacts wrote, so that a later run need not look for the window again."""
+    return {name: spark.read.parquet(f"{folder}/window_{name}") for name in ARTIFACTS} | {"summary": load_json(spark, f"{folder}/window_summary.json")}

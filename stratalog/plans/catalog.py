@@ -223,15 +223,11 @@ def tpl_roundtrip(spark, d):
 
 # Look-back -----------------------------------------------------------------------------------------------------------
 
-_ANCHOR = f"{SQL_BUCKETS}, an AS (SELECT bucket_id, start_time, end_time, min(ts) AS t_symptom FROM ev WHERE template_id IN ('error', 'purchase') GROUP BY ALL HAVING bool_or(template_id = 'error')), f AS (SELECT * FROM an WHERE start_time > TIMESTAMP '2024-01-15' ORDER BY start_time LIMIT 1)"
-
-
-def _late(df: DataFrame) -> DataFrame:
-    return df.where(F.col("start_time") > F.lit(dt.datetime(2024, 1, 15)))
+_ANCHOR = f"{SQL_BUCKETS}, an AS (SELECT bucket_id, start_time, end_time, min(ts) AS t_symptom FROM ev WHERE template_id IN ('error', 'purchase') GROUP BY ALL HAVING bool_or(template_id = 'error')), f AS (SELECT * FROM an ORDER BY start_time LIMIT 1)"
 
 
 def _symptom(spark, d):
-    return K.first_anchor(_late(P.instances(spark, d)), "error", ["purchase"]).first()
+    return K.first_anchor(P.instances(spark, d), "error", ["purchase"]).first()
 
 
 @query("lb_anchors", f"WITH {_ANCHOR} SELECT bucket_id, start_time, end_time, t_symptom FROM an")
@@ -260,13 +256,12 @@ def lb_controls(spark, d):
 
 # Labels and windows --------------------------------------------------------------------------------------------------
 
-_SYM = f"{SQL_BUCKETS}, sy AS (SELECT * FROM ev WHERE template_id = 'error' AND user_id % 10 = 0), lb AS (SELECT * FROM (SELECT *, lead(label) OVER (ORDER BY start_time) AS nxt FROM (SELECT bk.bucket_id, bk.start_time, bk.end_time, CASE WHEN s.t IS NULL THEN 0 ELSE 1 END AS label, s.t AS symptom_time, coalesce(s.t, bk.end_time) AS window_end FROM bk LEFT JOIN (SELECT bucket_id, min(ts) AS t FROM sy GROUP BY 1) s USING (bucket_id))) WHERE label = 1 OR nxt = 0)"
+_SYM = f"{SQL_BUCKETS}, sy AS (SELECT * FROM ev WHERE template_id = 'error'), lb AS (SELECT * FROM (SELECT *, lead(label) OVER (ORDER BY start_time) AS nxt FROM (SELECT bk.bucket_id, bk.start_time, bk.end_time, CASE WHEN s.t IS NULL THEN 0 ELSE 1 END AS label, s.t AS symptom_time, coalesce(s.t, bk.end_time) AS window_end FROM bk LEFT JOIN (SELECT bucket_id, min(ts) AS t FROM sy GROUP BY 1) s USING (bucket_id))) WHERE label = 1 OR nxt = 0)"
 _WIN = f"{_SYM}, wm AS (SELECT lb.bucket_id AS window_id, lb.label, lb.window_end, bk.bucket_id, bk.start_time, bk.end_time FROM lb JOIN bk ON bk.start_time < lb.window_end AND bk.end_time > lb.window_end - INTERVAL 30 MINUTE), wi AS (SELECT wm.window_id, wm.label, wm.window_end, wm.bucket_id, wm.start_time, ev.ord, ev.ts, ev.template_id, ev.var1 FROM wm JOIN ev USING (bucket_id) WHERE ev.ts < wm.window_end AND ev.template_id <> 'error')"
 
 
 def _symptoms(spark, d):
-    own = P.events(spark, d).where("user_id % 10 = 0").select(F.col("ord").alias("instance_index"))
-    return L.symptoms(P.instances(spark, d), ["error"]).join(own, "instance_index", "left_semi")
+    return L.symptoms(P.instances(spark, d), ["error"])
 
 
 def _labels(spark, d):
@@ -349,9 +344,20 @@ def inv_top_values(spark, d):
     return G.top_values(_window_instances(spark, d)).select("template_id", "value", "n", "rank")
 
 
-@query("feat_metric", f"WITH {_WIN}, m AS (SELECT wm.window_id, bk.start_time, CAST(bk.total_events AS DOUBLE) AS v FROM wm JOIN bk USING (bucket_id)), a AS (SELECT window_id, arg_max(v, start_time) AS cur, avg(v) AS mean, list(v ORDER BY start_time) AS s FROM m GROUP BY 1) SELECT window_id, 'metric_current_total_events' AS feature, cur AS value FROM a UNION ALL SELECT window_id, 'metric_mean_total_events', round(mean, 6) FROM a UNION ALL SELECT window_id, 'metric_delta_total_events', s[-1] - s[-2] FROM a WHERE len(s) > 1")
+#: The metrics that the driver's bucket table has.
+_METRICS = ("read_latency_ms", "write_latency_ms", "total_events", "error_count")
+_METRIC_SQL = " UNION ALL ".join(
+    f"SELECT window_id, 'metric_current_{f}' AS feature, s0[-1] AS value FROM a_{f} WHERE s0[-1] IS NOT NULL UNION ALL SELECT window_id, 'metric_mean_{f}', round(mean, 6) FROM a_{f} WHERE mean IS NOT NULL UNION ALL SELECT window_id, 'metric_delta_{f}', round(s[-1] - s[-2], 6) FROM a_{f} WHERE len(s) > 1"
+    for f in _METRICS
+)
+_METRIC_CTES = ", ".join(
+    f"a_{f} AS (SELECT window_id, list(CAST({f} AS DOUBLE) ORDER BY start_time) AS s0, avg(CAST({f} AS DOUBLE)) AS mean, list(CAST({f} AS DOUBLE) ORDER BY start_time) FILTER (WHERE {f} IS NOT NULL) AS s FROM mb GROUP BY 1)" for f in _METRICS
+)
+
+
+@query("feat_metric", f"WITH {_WIN}, mb AS (SELECT wm.window_id, bk.* FROM wm JOIN bk USING (bucket_id)), {_METRIC_CTES} SELECT window_id, feature, round(value, 6) AS value FROM ({_METRIC_SQL})")
 def feat_metric(spark, d):
-    return G.metric_features(_members(spark, d), P.buckets(spark, d), ("total_events",)).select("window_id", "feature", F.round("value", 6).alias("value"))
+    return G.metric_features(_members(spark, d), P.buckets(spark, d)).select("window_id", "feature", F.round("value", 6).alias("value"))
 
 
 @query("feat_template", f"WITH {_WIN}, t AS (SELECT window_id, template_id, count(*)::DOUBLE AS c, round((epoch_us(any_value(window_end)) - epoch_us(min(ts))) / 6e7, 4) AS l FROM wi GROUP BY ALL) SELECT window_id, 'template_present_' || template_id AS feature, 1.0::DOUBLE AS value FROM t UNION ALL SELECT window_id, 'template_count_' || template_id, c FROM t UNION ALL SELECT window_id, 'template_lead_minutes_' || template_id, l FROM t")
@@ -505,12 +511,12 @@ def shap_template_rollup(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from stratalog.plans import catalog_more
+    from stratalog.plans import catalog_extra, catalog_more
 
-    return {**_QUERIES, **catalog_more.QUERIES}
+    return {**_QUERIES, **catalog_more.QUERIES, **catalog_extra.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from stratalog.plans import catalog_more
+    from stratalog.plans import catalog_extra, catalog_more
 
-    return {**_SQL, **catalog_more.SQL}
+    return {**_SQL, **catalog_more.SQL, **catalog_extra.SQL}

@@ -1,7 +1,9 @@
-"""From raw files to the bucket table, and its verification."""
+"""From raw files to the bucket table, its verification, and later runs that read only what is new."""
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +23,74 @@ def bucket_table(spark: SparkSession, files: dict[str, list[str]], minutes: int
     return B.build(matched, lat, sysi, minutes, threshold, dense), templates
 
 
-def create(spark: SparkSession, data_dir: str, output_root: str, file_limit: int = discovery.FILE_LIMIT, minutes: int = 5, threshold: float = B.SPIKE_MS, force: bool = False) -> dict:
-    """Discover, check, build and write: `buckets` by day, `templates`, `manifest`; returns the verification."""
-    found = discovery.discover(spark, data_dir, file_limit=file_limit)
+def _known(spark: SparkSession, root: str, force: bool) -> tuple[dict, DataFrame | None]:
+    """The manifest and the templates of earlier runs."""
+    if force or B.existing(spark, f"{root}/buckets") is None:
+        return {}, None
+    return discovery.load_json(spark, f"{root}/manifest"), B.existing(spark, f"{root}/templates")
+
+
+def save_templates(spark: SparkSession, templates: DataFrame, root: str) -> None:
+    """The state of the miner, and a copy of it under the time of the run, which no later run changes."""
+    own = templates.checkpoint()
+    own.write.mode("overwrite").parquet(f"{root}/templates")
+    own.write.mode("errorifexists").parquet(f"{root}/template_snapshots/{time.strftime('%Y%m%dT%H%M%SZ', time.gmtime())}-{time.time_ns() % 10**9:09d}")
+
+
+def create(spark: SparkSession, data_dir: str, output_root: str, file_limit: int = discovery.FILE_LIMIT, minutes: int = 5, threshold: float = B.SPIKE_MS, force: bool = False, patterns: dict | None = None, extensions: list[str] | None = None, ask=None, yes: bool = True, strict: bool = False, check: bool = True, verified: bool = True) -> dict:
+    """Discover, check, build and write: `buckets` by day, `templates` with snapshots, `manifest`; returns the verification.
+
+    A second run reads only files that the manifest does not have, with the templates' ids kept, and merges their buckets. If
+    a file that it has was changed since, what it gave cannot be told from the rest, so the table is built anew of all files.
+    """
+    patterns = patterns or discovery.PATTERNS
+    found = discovery.discover(spark, data_dir, patterns, extensions, file_limit)
     checked = discovery.validate(found)
-    if not checked["is_valid"]:
-        raise ValueError("; ".join(checked["warnings"]))
-    table, templates = bucket_table(spark, found.files, minutes, threshold)
-    table.withColumn("bucket_date", F.to_date("start_time")).write.mode("overwrite" if force else "errorifexists").partitionBy("bucket_date").parquet(f"{output_root}/buckets")
-    templates.write.mode("overwrite").parquet(f"{output_root}/templates")
-    files = discovery.categorize(discovery.listing(spark, data_dir))
-    discovery.save_json(spark, f"{output_root}/manifest", discovery.manifest_of(files, f"{output_root}/buckets"))
-    return verify(spark.read.parquet(f"{output_root}/buckets")) | checked
+    if check:
+        discovery.confirm(checked, ask or input, yes, strict)
+    manifest, known = _known(spark, output_root, force)
+    listed = discovery.categorize(discovery.find(discovery.listing(spark, data_dir), [], extensions=extensions), patterns)
+    states = discovery.manifest_changes(listed, manifest).select("path", "category", "state", "length", "modificationTime", (F.unix_micros("modificationTime") / 1e6).alias("mtime")).checkpoint()
+    # No more rows than the file limit.
+    rows = states.orderBy("path").collect()
+    if any(r["state"] == "modified" for r in rows):
+        known, rows, manifest = None, [r.asDict() | {"state": "new"} for r in rows], {}
+    fresh = [r for r in rows if r["state"] == "new"]
+    counts = {s: sum(r["state"] == s for r in rows) for s in ("new", "cached")}
+    files = {c: [r["path"] for r in fresh if r["category"] == c] for c in patterns}
+    if files.get("event"):
+        table, templates = bucket_table(spark, files, minutes, threshold, known)
+        table = table.checkpoint()
+        path = f"{output_root}/buckets"
+        if not manifest:
+            _clear(spark, path)
+        B.upsert(spark, path, table, discovery.batch_name([r["path"] for r in fresh], [r["mtime"] for r in fresh]))
+        save_templates(spark, templates, output_root)
+        done = states.where(F.col("path").isin([r["path"] for r in fresh]))
+        discovery.save_json(spark, f"{output_root}/manifest", discovery.manifest_of(done, path, manifest))
+    own = spark.read.parquet(f"{output_root}/buckets")
+    return (verify(own) if verified else {}) | checked | {"files": counts, "summary": discovery.summary_text(found, checked)}
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    """Remove the table at path, if there is one, in its own store."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def create_from(spark: SparkSession, own: dict, ask=None) -> dict:
+    """create() with the settings of a configuration, and the summary saved if they say so."""
+    patterns = {"event": tuple(own["event_patterns"]), "latency": tuple(own["latency_pattern"]), "system": tuple(own["system_pattern"])}
+    told = create(
+        spark, own["data_dir"], own["output_root"], own["file_limit"], own["bucket_duration"], own["spike_threshold"], own["force"], patterns, own["extensions"],
+        ask, own["yes"], own["strict_mode"], not own["skip_validation"], own["verify"],
+    )
+    if own["save_summary"]:
+        text = verification_text(told)
+        spark.range(1).select(F.lit(text).alias("value")).coalesce(1).write.mode("overwrite").text(f"{own['output_root']}/verification")
+    return told
+
 
 
 def verify(table: DataFrame, samples: int = 3) -> dict:
@@ -40,3 +98,10 @@ def verify(table: DataFrame, samples: int = 3) -> dict:
     told = Q.info(table).first().asDict() | Q.event_count(table).first().asDict()
     n = min(samples, told["buckets"])
     return told | {"samples": [r.asDict() for r in Q.get_random(table, n, seed=1).select("bucket_id", "total_events").collect()] if n else []}
+
+
+def verification_text(told: dict) -> str:
+    lines = [told["summary"]]
+    if "buckets" in told:
+        lines += [f"{told['buckets']} buckets, {told['first_start']} to {told['last_end']}, {told['events']} events", *(f"  {s['bucket_id']}: {s['total_events']} events" for s in told["samples"])]
+    return "\n".join(lines)

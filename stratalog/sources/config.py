@@ -16,7 +16,8 @@ def load(path: str) -> dict:
         return json.loads(text)
     import yaml
 
-    return yaml.safe_load(text) or {}
+    # YAML reads the bare words yes and no as flags, also as names.
+    return {{True: "yes", False: "no"}.get(k, k) if isinstance(k, bool) else k: v for k, v in (yaml.safe_load(text) or {}).items()}
 
 
 def merged(defaults: dict, from_file: dict, from_cli: dict) -> dict:
@@ -59,3 +60,39 @@ def selection(text: str, n: int) -> list[int]:
     if any(not 0 <= i < n for i in found):
         raise ValueError(f"choices lie between 1 and {n}")
     return found
+
+
+#: The commands' settings with their defaults; a file has any of them, and the command line comes before it.
+CREATE = {
+    "data_dir": "./data", "event_patterns": ["*NAS*", "*PlatformClient*", "*PlatformManager*"], "latency_pattern": ["*latency*"], "system_pattern": ["*Information*"], "extensions": None,
+    "file_limit": 50, "bucket_duration": 5, "spike_threshold": 100.0, "output_root": "out", "force": False, "verify": True, "save_summary": False, "skip_validation": False, "strict_mode": False, "yes": False, "quiet": False,
+}
+_WINDOWS = {
+    "incident": None, "incident_substring": None, "equivalents": [], "bucket_path": None, "output_root": "artifacts", "artifacts": None, "lead_minutes": 5, "max_minutes": 60, "lookback_minutes": 30,
+    "symptom_substring": None, "symptom_variables": {}, "bucket_filters": {}, "exclude_file": None, "exclude_ids": [], "exclude_patterns": [], "exclude_metrics": [],
+    "threshold_policy": "negative-quantile", "threshold_rate": 0.001, "fixed_threshold": 0.5, "window_analysis": True, "episode_collapse": True, "episode_gap_min_intervals": 5,
+    "itemset_threshold": 1.0, "support": 0.2, "confidence": 0.5, "negative_mode": "time-matched", "negative_tolerance": 60, "negatives_per_positive": 1, "interactions": 0,
+    "cv_strategy": "none", "cv_folds": 5, "cv_test_size": None, "auto_lookback": False, "auto_lookback_metric": "recall", "balance": True, "rounds": 100, "shap_top_k": 5, "shap_bucket_limit": 10, "shap_report_top_n": 10, "details": "compact",
+}
+SHAP = _WINDOWS
+WINDOW_ANALYSIS = _WINDOWS | {"shap_top_k": 5}
+EVALUATE = _WINDOWS | {"lead_minutes": 15, "window_analysis": False, "episode_collapse": False, "episode_gap_min_intervals": 20}
+
+
+def settings(defaults: dict, path: str | None, given: dict) -> dict:
+    """The defaults, what a file changes, and what the command line changes; a name that no default has is an error."""
+    own = load(path) if path else {}
+    if unknown := sorted(set(own) - set(defaults)):
+        raise ValueError(f"unknown settings in {path}: {', '.join(unknown)}")
+    return merged(defaults, own, {k: v for k, v in given.items() if k in defaults})
+
+
+def default_text(defaults: dict) -> str:
+    """A configuration file with all defaults, to be edited. It reads as YAML and, line by line, as JSON values."""
+    return "".join(f"{json.dumps(name)}: {json.dumps(value)}\n" for name, value in defaults.items())
+
+
+def write_default(path: str, defaults: dict) -> None:
+    """Write default_text to a new local file of the driver; an existing one is left alone."""
+    with open(path, "x", encoding="utf-8") as file:
+        file.write(default_text(defaults))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratalog.functions.display import size_text, time_text
+
 #: Default name patterns by category, and seconds that a file of each is expected to take.
 PATTERNS = {"event": ("*NAS*", "*PlatformClient*", "*PlatformManager*"), "latency": ("*latency*",), "system": ("*Information*",)}
 SECONDS = {"event": 2.4, "latency": 1.5, "system": 1.0}
@@ -70,20 +74,53 @@ def validate(found: Discovery) -> dict:
     return {"is_valid": "event" not in missing, "missing_categories": missing, "warnings": [f"no {c} files" for c in missing], "estimated_seconds": sum(SECONDS[c] * len(f) for c, f in found.files.items())}
 
 
-def time_text(seconds: float) -> str:
-    return f"{seconds:.0f} s" if seconds < 60 else f"{seconds / 60:.1f} min" if seconds < 3600 else f"{seconds / 3600:.1f} h"
+def summary_text(found: Discovery, checked: dict) -> str:
+    """What was found and is missing, how large it is, and how long it may take."""
+    lines = [f"{c}: {len(f)} files" for c, f in found.files.items()]
+    lines += [f"{found.total_files} files, {size_text(found.total_size_bytes)}, about {time_text(checked['estimated_seconds'])}", *(f"warning: {w}" for w in checked["warnings"])]
+    return "\n".join(lines)
+
+
+class Aborted(RuntimeError):
+    """The user did not want to go on."""
+
+
+def confirm(checked: dict, ask: Callable[[str], str] = input, yes: bool = False, strict: bool = False) -> None:
+    """Go on without a question if nothing is missing or `yes`; else ask, and abort unless the answer begins with y.
+
+    strict: a missing category is an error.
+    """
+    if not checked["is_valid"] or (strict and checked["missing_categories"]):
+        raise ValueError("; ".join(checked["warnings"]))
+    if checked["missing_categories"] and not yes and not ask(f"{'; '.join(checked['warnings'])}. Go on? [y/N] ").strip().lower().startswith("y"):
+        raise Aborted("not confirmed")
+
+
+def read_queue(ranges: DataFrame, until, resumed: list[str] = ()) -> DataFrame:
+    """(source_file, start_time, end_time, resumed, place): the files to read for times before `until`, those that were begun first.
+
+    ranges: as time_ranges of the log lines gives them. A batch reads all files at once; the order serves readers that do not.
+    """
+    own = ranges.where(F.col("start_time") < F.lit(until)).withColumn("resumed", F.col("source_file").isin(list(resumed)))
+    # A row for each file of one run.
+    return own.withColumn("place", F.row_number().over(Window.orderBy(F.desc("resumed"), "start_time", "source_file")))
 
 
 def manifest_changes(files: DataFrame, manifest: dict) -> DataFrame:
     """files with `state`: new, modified (another time) or cached."""
     known = manifest.get("files", {})
-    rows = [(p, float(m["mtime"])) for p, m in known.items()] or [(None, None)]
-    old = files.sparkSession.createDataFrame(rows, "path string, known_mtime double")
+    rows = "\n".join(f"{p}\t{float(m['mtime'])!r}" for p, m in sorted(known.items()))
+    old = files.sparkSession.range(1).select(F.explode(F.split(F.lit(rows), "\n")).alias("r")).where("r <> ''").select(F.substring_index("r", "\t", 1).alias("path"), F.substring_index("r", "\t", -1).cast("double").alias("known_mtime"))
     mtime = F.unix_micros("modificationTime") / 1e6
     out = files.join(old, "path", "left")
     return out.withColumn("state", F.when(F.col("known_mtime").isNull(), "new").when(F.abs(mtime - F.col("known_mtime")) > 1e-6, "modified").otherwise("cached")).drop("known_mtime")
 
 
+def batch_name(paths: list[str], mtimes: list[float]) -> str:
+    """A name of a set of files at their times."""
+    return hashlib.sha256("\n".join(f"{p} {m!r}" for p, m in sorted(zip(paths, mtimes, strict=True))).encode()).hexdigest()[:16]
+
+
 def manifest_of(files: DataFrame, bucket_file: str, manifest: dict | None = None) -> dict:
     """The manifest after the given files (path, category, length, modificationTime) were processed."""
     now = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
@@ -100,4 +137,5 @@ def save_json(spark: SparkSession, path: str, value: dict) -> None:
 
 
 def load_json(spark: SparkSession, path: str) -> dict:
-    return json.loads("\n".join(r[0] for r in spark.read.text(path).limit(1_000_000).collect()))
+    """A JSON text that save_json wrote, whatever its length."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))

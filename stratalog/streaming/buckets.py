@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.operators import buckets as B
-from stratalog.functions.timing import bucket_end, bucket_id, seconds_of
+from stratalog.functions.timing import bucket_end, bucket_id
 
 WARN_SHARE, ERROR_SHARE = 0.005, 0.10
 
@@ -44,19 +44,10 @@ def upsert_stream(events: DataFrame, path: str, checkpoint: str, minutes: int =
     return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def late_share(events: DataFrame, window_hours: int = 4, order: str = "ord") -> DataFrame:
-    """(late, events, share, level) of events that lie before the processing window that the largest time so far had reached.
+def late_share(events: DataFrame, window_hours: float = 4, order: str = "ord") -> DataFrame:
+    """(late, events, share, level) of events that lie before the processing window that the largest time so far had reached."""
+    from stratalog.streaming.windows import routed
 
-    The largest time before each row comes from spans of rows: a running maximum inside a span, and that of the spans before.
-    """
-    from pyspark.sql import Window
-
-    span = 100_000
-    rows = events.select(F.col(order).alias("o"), seconds_of(F.col("ts")).alias("t")).withColumn("span", F.floor(F.col("o") / span))
-    inside = F.max("t").over(Window.partitionBy("span").orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
-    before = rows.groupBy("span").agg(F.max("t").alias("m")).select("span", F.max("m").over(Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
-    seen = rows.withColumn("inside", inside).join(before, "span").withColumn("seen", F.greatest("inside", "earlier"))
-    width = window_hours * 3600
-    told = seen.agg(F.count_if(F.floor(F.col("t") / width) < F.floor(F.col("seen") / width)).alias("late"), F.count(F.lit(1)).alias("events"))
+    told = routed(events, window_hours, order).agg(F.count_if(F.col("route") == "late").alias("late"), F.count(F.lit(1)).alias("events"))
     share = F.when(F.col("events") > 0, F.col("late") / F.col("events")).otherwise(0.0)
     return told.withColumn("share", share).withColumn("level", F.when(share > ERROR_SHARE, "error").when(share > WARN_SHARE, "warning").otherwise("ok"))

@@ -22,7 +22,7 @@ def write(folder):
     (folder / "x_NAS_1.log").write_text("\n".join(lines))
     (folder / "latency.txt").write_text("\n".join(f"{T0 + dt.timedelta(minutes=5 * i):%Y-%m-%d %H:%M:%S}  1.5  {90 + i}  10  20  1  2" for i in range(90)))
     frame = "=" * 44
-    (folder / "Information.txt").write_text("".join(f"{frame}\n[3/1/2024 {10 + h % 2}:00:00 AM] Periodic Information\n{frame}\nCPU {10 + h} %\n" for h in range(2)))
+    (folder / "Information.txt").write_text("".join(f"{frame}\n[3/1/2024 {10 + h % 2}:00:00 AM] Periodic Information\n{frame}\nCPU Utilization: {10 + h}%\n" for h in range(2)))
     (folder / "other.bin").write_text("x")
 
 
