@@ -14,17 +14,12 @@ from stratalog.operators import templates as D
 from stratalog.plans import binding as P
 from stratalog.plans.binding import SQL_EV
 from stratalog.sources import latency, logs, sysinfo
+from stratalog.sources.store import shared_folder
 from stratalog.streaming import buckets as S
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
 
-def _checkpoints(spark) -> str:
-    import tempfile
-
-    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints")
-
-
 def doc_sanitize(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     return docs.select("doc_id", sanitize(F.col("text")).alias("s")).select("doc_id", F.sha2("s.text", 256).alias("digest"), F.col("s.changed").alias("changed"), F.size("s.warnings").cast("long").alias("n_warnings"))
@@ -133,7 +128,7 @@ def gbt_score(spark, d):
 
 def tree_shap(spark, d):
     model, rows, names = _trained(spark, d)
-    return T.explain(rows.where("split = 'test'"), T.leaves(spark, model, _checkpoints(spark)), names)
+    return T.explain(rows.where("split = 'test'"), T.leaves(spark, model, shared_folder(spark)), names)
 
 
 def late_events(spark, d):
@@ -149,7 +144,7 @@ def stream_buckets(spark, d):
     level = F.element_at(F.create_map(*(F.lit(x) for kv in P.LEVEL_OF.items() for x in kv)), F.col("event_type"))
     name = f"stream_{uuid.uuid4().hex}"
     out = S.bucket_stream(raw.select(F.col("ts").cast("timestamp").alias("ts"), level.alias("level")))
-    query = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_checkpoints(spark)}/{name}").trigger(availableNow=True).start()
+    query = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 

@@ -11,6 +11,7 @@ from stratalog.operators import buckets as B
 from stratalog.operators import select as Q
 from stratalog.operators import templates as D
 from stratalog.sources import discovery, latency, logs, sysinfo
+from stratalog.sources.store import remove
 
 
 def bucket_table(spark: SparkSession, files: dict[str, list[str]], minutes: int = 5, threshold: float = B.SPIKE_MS, known: DataFrame | None = None, dense: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +64,7 @@ def create(spark: SparkSession, data_dir: str, output_root: str, file_limit: int
         table = table.checkpoint()
         path = f"{output_root}/buckets"
         if not manifest:
-            _clear(spark, path)
+            remove(spark, path)
         B.upsert(spark, path, table, discovery.batch_name([r["path"] for r in fresh], [r["mtime"] for r in fresh]))
         save_templates(spark, templates, output_root)
         done = states.where(F.col("path").isin([r["path"] for r in fresh]))
@@ -72,13 +73,6 @@ def create(spark: SparkSession, data_dir: str, output_root: str, file_limit: int
     return (verify(own) if verified else {}) | checked | {"files": counts, "summary": discovery.summary_text(found, checked)}
 
 
-def _clear(spark: SparkSession, path: str) -> None:
-    """Remove the table at path, if there is one, in its own store."""
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def create_from(spark: SparkSession, own: dict, ask=None) -> dict:
     """create() with the settings of a configuration, and the summary saved if they say so."""
     patterns = {"event": tuple(own["event_patterns"]), "latency": tuple(own["latency_pattern"]), "system": tuple(own["system_pattern"])}
