@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.sources.store import shared_folder
+
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same set as literal characters, for translate().
@@ -31,12 +31,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the session's shared checkpoint folder, so that it outlives its executors.
 
-    The folder comes from spark.checkpoint.dir. Only where that is unset, as in tests on one machine, it is a
-    temporary one.
+    The folder comes from spark.checkpoint.dir; only a session of one machine may go without it. Spark removes a table there when
+    nothing refers to it any more, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
