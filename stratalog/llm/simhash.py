@@ -223,18 +223,18 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return marked.join(resolved, "fp").select(key, "fp", "component")
 
 
-#: Near copies: the word shingles' sketch of SKETCH bins is read as BANDS keys; texts with a key in common are compared. TOLERANCE
-#: is about one standard deviation of a sketch's estimate: a copy at the threshold should rather be found. BLOCK is the number
-#: of texts of one key that are compared in one place; more of them are dealt out in pairs of blocks.
-SKETCH, BANDS, TOLERANCE, BLOCK = 256, 32, 0.03, 4096
+#: Near copies: the word shingles' sketch of SKETCH bins is read as BANDS keys; texts with a key in common are compared. A pair
+#: whose sketches estimate no more than SCREEN less than the threshold, three standard deviations, is compared exactly. BLOCK is the
+#: number of texts of one key that are compared in one place; more of them are dealt out in pairs of blocks.
+SKETCH, BANDS, SCREEN, BLOCK = 256, 32, 0.08, 4096
 
 
 def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> bytes:
     """One-permutation MinHash of a set of 64-bit hashes: the least rest in each of `size` bins, 16 bits of each, 0 if none."""
     out = np.zeros(size, np.uint16)
     if len(hashes):
-        order = np.sort(np.unique(hashes))[::-1]
-        mixed = order * np.uint64(0x9E3779B97F4A7C15)
+        mixed = np.unique(hashes)[::-1]
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(31)
         rest = (mixed >> np.uint64(8)) % np.uint64(65535) + np.uint64(1)
         by = np.argsort(mixed, kind="stable")[::-1]
@@ -244,18 +244,21 @@ def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> bytes:
 
 
 def marks(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, digest, sketch): the sketch of the k-word shingles, and its digest."""
+    """(key, digest, sketch, grams): the k-word shingles' sketch, their set as sorted 32-bit hashes, and the digest of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
             for part in slices(batch, 1):
-                sketches = [sketch_of(shingle_hashes(words_of(t), k, 42)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(xxh3_128_digest, sketches), pa.binary()), pa.array(sketches, pa.binary())], ["key", "digest", "sketch"])
+                hashes = [np.unique(shingle_hashes(words_of(t), k, 42)) for t in part.column(1).to_pylist()]
+                sketches = [sketch_of(h) for h in hashes]
+                grams = [np.unique(h.astype(np.uint32)).astype("<u4").tobytes() for h in hashes]
+                digests = [xxh3_128_digest(x + y) for x, y in zip(sketches, grams, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in (digests, sketches, grams))], ["key", "digest", "sketch", "grams"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, digest binary, sketch binary")
+    return rows.mapInArrow(run, "key long, digest binary, sketch binary, grams binary")
 
 
 @lru_cache(maxsize=1)
@@ -294,10 +297,22 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
 
 
-def linked(sketches: np.ndarray, least: float) -> np.ndarray:
-    """(later, first) indices that join the rows which agree, directly or over others, in `least` of the bins that either fills.
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; of two empty ones 1."""
+    if not len(x) and not len(y):
+        return 1.0
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = np.count_nonzero(both[1:] == both[:-1])
+    return common / (len(both) - common)
 
-    Every row that was reached is compared with all that were not, so no pair that could join two groups is left out.
+
+def linked(sketches: np.ndarray, least: float, grams: list[np.ndarray] | None = None) -> np.ndarray:
+    """(later, first) pairs of similar rows that join all rows which are similar to each other, directly or over others.
+
+    Similar are those whose sketches agree in `least` less SCREEN of the bins that either fills, and, with grams, whose sets'
+    similarity is `least`. Every row that was reached is compared with all that were not, so no pair that could join two groups
+    is left out.
     """
     filled = sketches > 0
     rest, out = np.arange(len(sketches)), []
@@ -307,27 +322,33 @@ def linked(sketches: np.ndarray, least: float) -> np.ndarray:
         while reached and len(rest):
             at = reached.pop()
             same = np.count_nonzero((sketches[rest] == sketches[at]) & filled[at], axis=1)
-            hit = same >= least * np.count_nonzero(filled[rest] | filled[at], axis=1)
+            hit = same >= (least - SCREEN) * np.count_nonzero(filled[rest] | filled[at], axis=1)
+            if grams is not None:
+                for i in np.flatnonzero(hit).tolist():
+                    hit[i] = similarity(grams[rest[i]], grams[at]) >= least
             if hit.any():
                 new, rest = rest[hit], rest[~hit]
-                out.append(np.stack((new, np.full(len(new), head)), 1))
+                out.append(np.stack((new, np.full(len(new), at)), 1))
                 reached += new.tolist()
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
 def near_links(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b) links of nodes (node, sketch) that keep the components of all pairs with a band key in common and agreeing sketches.
+    """(a, b) similar pairs of nodes (node, sketch, and grams or not) that keep the components of all similar pairs with a band key
+    in common; similar as `linked` has it.
 
     Keys with the same nodes count once. The nodes of a key are compared with each other where they meet; beyond `block` of
     them they are dealt to blocks, and each two blocks meet.
     """
+    exact = "grams" in nodes.columns
     banded = _banded(nodes)
     sets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
     kept = sets.where("n > 1").groupBy("n", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     own = F.expr("pmod(xxhash64(node, 3), blocks)")
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("own", j) * F.col("blocks") + F.greatest("own", j))
     members = banded.join(kept, "key").withColumn("own", own).select("key", "node", F.explode(met).alias("met"))
-    dealt = members.join(nodes.select("node", "sketch"), "node").select("key", "met", "node", "sketch")
+    carried = ["sketch", "grams"] if exact else ["sketch"]
+    dealt = members.join(nodes.select("node", *carried), "node").select("key", "met", "node", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: pa.Table, last: bool) -> tuple[pa.Table, pa.RecordBatch]:
@@ -339,7 +360,8 @@ def near_links(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
             if len(ends):
                 sketches = np.frombuffer(b"".join(rows.column(3).slice(0, ends[-1]).to_pylist()), np.uint16).reshape(ends[-1], -1)
             for end in ends.tolist():
-                found = linked(sketches[at:end], least) + at
+                grams = [np.frombuffer(x, "<u4") for x in rows.column(4).slice(at, end - at).to_pylist()] if exact else None
+                found = linked(sketches[at:end], least, grams) + at
                 a.append(node[found[:, 0]])
                 b.append(node[found[:, 1]])
                 at = end
@@ -358,19 +380,51 @@ def near_links(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     return dealt.repartition("key", "met").sortWithinPartitions("key", "met").mapInArrow(run, "a long, b long").distinct()
 
 
+def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, similar): whether the sets (node, grams) of each link are similar by `least`, exactly."""
+    sides = [sets.toDF(side, f"grams_{side}") for side in ("a", "b")]
+    rows = links.join(sides[0], "a").join(sides[1], "b").select("a", "b", "grams_a", "grams_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                x, y = ([np.frombuffer(g, "<u4") for g in part.column(i).to_pylist()] for i in (2, 3))
+                hit = [similarity(i, j) >= least for i, j in zip(x, y, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hit, pa.bool_())], ["a", "b", "similar"])
+
+    return rows.mapInArrow(run, "a long, b long, similar boolean")
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component) of near copies: the smallest key of each group, for every row with a key.
 
-    Texts of one sketch are one node. Two nodes are candidates if their sketches of k-word shingles have the same values in one
-    of BANDS bands: of pairs whose shingles' Jaccard similarity is `least` = 0.8 nearly all do, however their words differ
-    (measured in the README). All candidates of a key are compared, and linked if their sketches' estimate of the similarity
-    reaches `least`, less TOLERANCE. Nodes without a word are one group.
+    Texts of one set of k-word shingles are one node. Two nodes are candidates if their sketches have the same values in one of
+    BANDS bands: of pairs whose shingles' Jaccard similarity is `least` = 0.8 nearly all do, however their words differ (measured
+    in the README). Candidates are screened by their sketches, and every link that joins a group is then verified by the sets
+    themselves. Groups in which a link fails are compared again, with the sets at hand, so that no pair behind it is lost. Nodes
+    without a word are one group.
     """
     marked = cut(marks(docs, key, text, k))
     nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
-    found = components(near_links(nodes, least - TOLERANCE))
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        """(node, grams) of the nodes named."""
+        asked = nodes.join(names, "node", "left_semi").select("node", F.col("digest").alias("of"))
+        return marked.join(asked, (F.col("key") == F.col("node")) & (F.col("digest") == F.col("of"))).select("node", "grams").dropDuplicates(["node"])
+
+    links = cut(near_links(nodes, least))
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    told = cut(verified(links, sets_of(ends), least))
+    good = told.where("similar").select("a", "b")
+    if told.where("NOT similar").take(1):
+        whole = cut(components(links))
+        open_groups = told.where("NOT similar").select(F.col("a").alias("node")).join(whole, "node").select("component").distinct()
+        again = cut(whole.join(open_groups, "component", "left_semi").select("node"))
+        asked = cut(nodes.select("node", "sketch").join(again, "node", "left_semi").join(sets_of(again), "node"))
+        good = good.union(near_links(asked, least))
+    found = components(good)
     resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    return marked.where("key IS NOT NULL").join(resolved, "digest").select("key", "component")
+    return marked.where("key IS NOT NULL").select("key", "digest").join(resolved, "digest").select("key", "component")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
