@@ -53,6 +53,58 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _ring_sql(shards: int = 8, vnodes: int = 64, seed: int = 7) -> str:
+    """The ring of assign_shards, its rounds one after the other: in each, the rows still out ask for a shard, in order of the points."""
+    order = sharding.ring(shards, vnodes, seed)
+    kinds = sorted({tuple(x) for x in order})
+    place = {k: i + 1 for i, k in enumerate(kinds)}
+
+    def hashed(salt: int, *columns: str) -> str:
+        texts = " || chr(2) || ".join([f"'{salt}'", *(f"coalesce(CAST({c} AS VARCHAR), chr(1))" for c in columns)])
+        return f"CAST(('0x' || substr(md5({texts}), 1, 12)) AS BIGINT)"
+
+    rounds = []
+    for r in range(shards):
+        before = " UNION ALL ".join(f"SELECT ask, left_n FROM a{q}" for q in range(r)) or "SELECT 0 AS ask, 0 AS left_n WHERE false"
+        rounds.append(f"""a{r} AS (
+  SELECT point, kind, total, left_n, done, (SELECT kinds[p.kind][{r + 1}] FROM k) AS ask FROM p{r} p
+), g{r} AS (
+  SELECT a.*, coalesce(sum(left_n) OVER (PARTITION BY ask ORDER BY point ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + coalesce(b.n, 0) AS ahead
+  FROM a{r} a LEFT JOIN (SELECT ask AS b_ask, sum(left_n) AS n FROM ({before}) GROUP BY 1) b ON b_ask = ask
+), h{r} AS (
+  SELECT *, greatest(0, least(left_n, total // {shards} + CASE WHEN ask < total % {shards} THEN 1 ELSE 0 END - ahead)) AS got FROM g{r}
+), p{r + 1} AS (
+  SELECT point, kind, total, left_n - got AS left_n, done + got AS done FROM h{r}
+)""")
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        table.append(byte)
+    crc = f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST(('0x' || x) AS BIGINT))), lambda c, x: xor(({table}::BIGINT[])[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+    parts = " UNION ALL ".join(f"SELECT point, ask AS shard, done AS first_n, done + got AS last_n, ahead AS base FROM h{r} WHERE got > 0" for r in range(shards))
+    return f"""
+WITH k AS (
+  SELECT {[list(x) for x in kinds]} AS kinds, {[place[tuple(x)] for x in order]} AS points
+), d AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, CAST(CASE WHEN text IS NOT NULL THEN {crc} END AS BIGINT) AS text_crc32 FROM documents
+), c AS (
+  SELECT *, {hashed(seed, "doc_id")} % {sharding.SLOTS} AS point, {hashed(seed + 2, "doc_id", "size", "text_crc32")} % {sharding.SALTS} AS salt, {hashed(seed + 1, "doc_id")} AS h FROM d
+), n AS (
+  SELECT point, count(*) AS n, sum(count(*)) OVER () AS total FROM c GROUP BY point
+), p0 AS (
+  SELECT point, (SELECT points[n.point + 1] FROM k) AS kind, total, n AS left_n, 0 AS done FROM n
+), {", ".join(rounds)}, parts AS ({parts}), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY point ORDER BY salt, h, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS rank FROM c
+)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, CAST(base + rank - first_n AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM ranked JOIN parts ON ranked.point = parts.point AND rank >= first_n AND rank < last_n
+"""
+
+
+OP4_SQL = _ring_sql()
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
@@ -115,4 +167,4 @@ FROM u LEFT JOIN b USING (rid)
 
 
 QUERIES = {"op8_url_filter": op8_url_filter, "op5_quality_rules": op5_quality_rules, "op3_source_mix": op3_source_mix, "op4_ring_shards": op4_ring_shards}
-SQL = {"op8_url_filter": OP8_SQL, "op5_quality_rules": OP5_SQL, "op3_source_mix": OP3_SQL}
+SQL = {"op4_ring_shards": OP4_SQL, "op8_url_filter": OP8_SQL, "op5_quality_rules": OP5_SQL, "op3_source_mix": OP3_SQL}

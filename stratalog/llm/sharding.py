@@ -48,6 +48,12 @@ def ring(shards: int, vnodes: int, seed: int, slots: int = SLOTS) -> list[list[i
     return order
 
 
+def hashed(seed: int, *columns: Column) -> Column:
+    """48 bits of an MD5 of the columns' texts as a number; a null is a text of its own."""
+    texts = (F.coalesce(c.cast("string"), F.lit("\x01")) for c in columns)
+    return F.conv(F.substring(F.md5(F.concat_ws("\x02", F.lit(str(seed)), *texts)), 1, 12), 16, 10).cast("long")
+
+
 def _literal_array(values, kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
@@ -95,15 +101,15 @@ def assign_shards(rows: DataFrame, key: str, shards: int = 8, vnodes: int = 64,
     own = [f"c{i}" for i in range(len(rows.columns))]
     plain = rows.toDF(*own)
     key = own[rows.columns.index(key)]
-    point = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(slots)).cast("int").alias("point")
-    salt = F.pmod(F.xxhash64(F.lit(seed + 2), *own), F.lit(SALTS)).cast("int")
+    point = (hashed(seed, F.col(key)) % slots).cast("int")
+    salt = (hashed(seed + 2, *map(F.col, own)) % SALTS).cast("int")
     told = plain.groupBy(*own).agg(F.count(F.lit(1)).alias("m")).withColumn("point", point).withColumn("salt", salt)
     counts = told.groupBy("point", "salt").agg(F.sum("m").alias("n"))
     parts = settle(counts.groupBy("point").agg(F.sum("n").alias("n")), shards, vnodes, seed, slack, slots)
     # A point's rows are ranked in parts, each behind the rows of those before it.
     before = Window.partitionBy("point").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("point", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
-    in_part = Window.partitionBy("point", "salt").orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), *own)
+    in_part = Window.partitionBy("point", "salt").orderBy(hashed(seed + 1, F.col(key)), *own)
     ranked = told.select(*own, "point", "salt", "m", (F.sum("m").over(in_part.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).alias("in_part"))
     ranked = ranked.join(begins, ["point", "salt"]).select(*own, "point", "m", (F.col("begin") + F.col("in_part")).alias("rank"))
     each = ranked.join(parts, "point").where((F.col("rank") < F.col("last")) & (F.col("rank") + F.col("m") > F.col("first")))
