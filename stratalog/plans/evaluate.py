@@ -70,7 +70,9 @@ def matrix(buckets: DataFrame, instances: DataFrame, c: Config) -> tuple[DataFra
         gap = L.learn_gap(positive, "start_time", c.least_intervals)["gap_minutes"]
         if gap is not None:
             labels = labels.where("label = 0").unionByName(L.one_per_episode(positive, gap).select(*labels.columns))
-    members = L.window_members(labels, buckets, c.lookback_minutes)
+    # All that follows starts from these two; they have a row for each bucket, and for each bucket of a window.
+    labels = labels.checkpoint()
+    members = L.window_members(labels, buckets, c.lookback_minutes).checkpoint()
     own = L.window_instances(members, instances, [*ids, *c.exclude_ids], c.exclude_patterns)
     long = G.build(members, buckets, own, tuple(f for f in G.METRIC_FIELDS if f not in c.exclude_metrics))
     rows, names = G.assemble(G.rows_of(members), long)
@@ -157,12 +159,12 @@ def run(spark: SparkSession, buckets: DataFrame, instances: DataFrame, c: Config
     plain = values.where("other IS NULL")
     expected = T.expected_value(found)
     shap = plain.select(F.col("window_id").alias("bucket_id"), "feature", F.col("value").alias("shap"))
-    means = M.window_means(members, shap)
+    means = M.window_means(members, shap).checkpoint()
     total = members.select("window_id").distinct().count()
     own = L.window_instances(members, instances, [c.incident, *c.equivalents]).select("window_id", "template_id", F.struct("start_time", "instance_index").alias("pos"))
     out = {
         "metrics": metrics, "features": names, "expected_value": expected, "model": model, "scored": scored, "shap": values, "shap_rows": X.shap_rows(scored, plain, expected), "shap_scope": scope,
-        "highlights": X.highlights(scored, plain, c.shap_top_k), "shap_aggregate": M.shap_aggregate(shap, scored.select(F.col("window_id").alias("bucket_id"), "label")), "contributions": shap, "labels": labels,
+        "highlights": X.highlights(scored, plain, c.shap_top_k), "shap_aggregate": M.shap_aggregate(shap, scored.select(F.col("window_id").alias("bucket_id"), "label")), "contributions": shap, "labels": labels, "members": members,
         "clusters": M.clusters(means), "rules": M.association_rules(M.itemsets(means, c.itemset_threshold), total, c.support, c.confidence), "sequences": M.ordered_pairs(own, total, c.support),
         "negatives": M.select_negatives(labels, c.negative_mode, c.lookback_minutes, instances, c.required_templates, c.negative_tolerance, c.negatives_per_positive), "data_summary": E.log_odds(tested), "histogram": E.histogram(tested),
     }
@@ -189,8 +191,7 @@ def save(spark: SparkSession, found: dict, instances: DataFrame, c: Config, fold
         W.write(found["snapshot"], f"{folder}/snapshot")
     T.save(spark, found["model"], found["features"], f"{folder}/surrogate")
     texts = A.template_strings(instances)
-    kinds = G.inventory(L.window_instances(L.window_members(found["labels"], found["buckets"], c.lookback_minutes), instances, [c.incident, *c.equivalents]))[1] if "buckets" in found else spark.createDataFrame([], "template_id string, var string, kind string")
-    kinds = kinds.select("template_id", "var", "kind").checkpoint()
+    kinds = G.inventory(L.window_instances(found["members"], instances, [c.incident, *c.equivalents]))[1].select("template_id", "var", "kind").checkpoint()
     told = R.aggregate(found["contributions"], found["scored"].select(F.col("window_id").alias("bucket_id"), "label"), texts, kinds, c.shap_report_top_n)
     each = R.per_bucket(found["highlights"], texts, kinds, c.shap_bucket_limit)
     summary = {
@@ -238,7 +239,7 @@ def run_settings(spark: SparkSession, own: dict, ask=None) -> dict:
         found_windows = K.build_windows(table, instances, c.incident, c.equivalents, c.lead_minutes, c.max_minutes)
         if found_windows:
             K.write_artifacts(spark, found_windows, f"{root}/windows")
-    found = run(spark, table, instances, c, f"{root}/work") | {"buckets": table}
+    found = run(spark, table, instances, c, f"{root}/work")
     if c.collapse_episodes:
         found["episode_gap"] = episode_gap(table, instances, c)
     return save(spark, found, instances, c, root) | {"windows": found_windows and found_windows["summary"]}
