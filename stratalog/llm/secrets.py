@@ -28,6 +28,7 @@ import bz2
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -404,12 +405,13 @@ def find_secrets(text: str | None, mapped: bool = False, window: int = WINDOW) -
     more = set(scan_more(text))
     met = {hashlib.blake2b(text.encode()).digest()}
     known = {*base, *more}
-    # The worklist holds the open ends of the layers: the next one is made when those before it are done.
-    work: list[tuple[Iterator[Layer], int, int, str, _Places | _Whole | None]] = [(unwrap(text, window), 0, len(text), "", None)]
+    # The worklist holds what the layers still have to give. Layers wait for their turn, so that the shortest route to a finding
+    # is the one that is told; only the windows of a packed body go first, one after the other, so that no more than one is held.
+    work: deque[tuple[Iterator[Layer], int, int, str, _Places | _Whole | None]] = deque([(unwrap(text, window), 0, len(text), "", None)])
     while work:
-        layers, outer_start, outer_end, before, outer = work[-1]
+        layers, outer_start, outer_end, before, outer = work[0]
         if (found := next(layers, None)) is None:
-            work.pop()
+            work.popleft()
             continue
         a, b, step, layer, of_run = found
         route = f"{before}.{step}" if before else step
@@ -434,7 +436,7 @@ def find_secrets(text: str | None, mapped: bool = False, window: int = WINDOW) -
             elif (own := (start + places.span(x, y)[0], start + places.span(x, y)[1], kind)) not in known:
                 known.add(own)
                 more.add((*own[:2], f"{kind}+{route}"))
-        work.append((unwrap(layer, window), start, end, route, places))
+        (work.appendleft if "." in step else work.append)((unwrap(layer, window), start, end, route, places))
     return base, sorted(more)
 
 
