@@ -360,10 +360,9 @@ def feat_metric(spark, d):
     return G.metric_features(_members(spark, d), P.buckets(spark, d)).select("window_id", "feature", F.round("value", 6).alias("value"))
 
 
-@query("feat_template", f"WITH {_WIN}, t AS (SELECT window_id, template_id, count(*)::DOUBLE AS c, round((epoch_us(any_value(window_end)) - epoch_us(min(ts))) / 6e7, 5) AS l FROM wi GROUP BY ALL) SELECT window_id, 'template_present_' || template_id AS feature, 1.0::DOUBLE AS value FROM t UNION ALL SELECT window_id, 'template_count_' || template_id, c FROM t UNION ALL SELECT window_id, 'template_lead_minutes_' || template_id, l FROM t")
+@query("feat_template", f"WITH {_WIN}, t AS (SELECT window_id, template_id, count(*)::DOUBLE AS c, (epoch_us(any_value(window_end)) / 1e6 - epoch_us(min(ts)) / 1e6) / 60 AS l FROM wi GROUP BY ALL) SELECT window_id, 'template_present_' || template_id AS feature, 1.0::DOUBLE AS value FROM t UNION ALL SELECT window_id, 'template_count_' || template_id, c FROM t UNION ALL SELECT window_id, 'template_lead_minutes_' || template_id, l FROM t")
 def feat_template(spark, d):
-    # To five places a number of milliseconds by a minute never lies halfway between two.
-    return G.template_features(_window_instances(spark, d)).select("window_id", "feature", F.round("value", 5).alias("value"))
+    return G.template_features(_window_instances(spark, d))
 
 
 @query("feat_numeric_var", f"WITH {_WIN}, t AS (SELECT window_id, template_id, round(avg(var1::DOUBLE), 6) AS m, arg_max(var1::DOUBLE, (start_time, ord)) AS l FROM wi GROUP BY ALL) SELECT window_id, 'template_' || template_id || '_var1_mean' AS feature, m AS value FROM t UNION ALL SELECT window_id, 'template_' || template_id || '_var1_last', l FROM t")
