@@ -14,7 +14,7 @@ from stratalog.operators import templates as D
 from stratalog.plans import binding as P
 from stratalog.plans.binding import SQL_EV
 from stratalog.sources import latency, logs, sysinfo
-from stratalog.sources.store import shared_folder
+from stratalog.sources.store import cut, shared_folder
 from stratalog.streaming import buckets as S
 
 TIME = "yyyy-MM-dd HH:mm:ss"
@@ -107,17 +107,17 @@ def drain_match(spark, d):
 
 
 def _matrix(spark, d):
-    buckets, instances = P.buckets(spark, d), P.instances(spark, d)
-    labels = L.label_buckets(buckets, L.symptoms(instances, ["error"]))
-    members = L.window_members(labels, buckets, 30)
-    features = G.build(members, buckets, L.window_instances(members, instances, ["error"]))
+    """Each step is computed once: the plan of all steps together, made anew for each of the many jobs of a training, fills the driver."""
+    buckets, instances = cut(P.buckets(spark, d)), P.instances(spark, d)
+    labels = cut(L.label_buckets(buckets, L.symptoms(instances, ["error"])))
+    members = cut(L.window_members(labels, buckets, 30))
+    features = cut(G.build(members, buckets, L.window_instances(members, instances, ["error"])))
     return G.assemble(G.rows_of(members), features)
 
 
 def _trained(spark, d):
     rows, names = _matrix(spark, d)
-    rows = rows.persist()
-    split = E.split_balanced(rows, order=("timestamp", "window_id"))
+    split = cut(E.split_balanced(cut(rows), order=("timestamp", "window_id")))
     return T.train(split.where("split = 'train'")), split, names
 
 

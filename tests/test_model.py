@@ -84,3 +84,15 @@ def test_the_queries_train_as_many_rounds_as_the_operator(spark):
 
     model, _, _ = catalog_more._trained(spark, "/root/testdata/sf0.001")
     assert model.getNumTrees == T.PARAMETERS["maxIter"] == 100
+
+
+def test_gbt_score_trains_on_rows_that_are_computed_once(spark, monkeypatch):
+    from stratalog.plans import catalog_more
+
+    seen = []
+    monkeypatch.setattr(T, "train", lambda rows: seen.append(rows))
+    monkeypatch.setattr(T, "score", lambda model, rows: (seen.append(rows), rows.withColumn("probability", rows["label"] * 1.0))[1])
+    assert catalog_more.gbt_score(spark, "/root/testdata/sf0.001").count() > 10
+    for rows in seen:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "RDD" in plan and "Exchange" not in plan and "Join" not in plan
