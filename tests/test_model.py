@@ -96,3 +96,18 @@ def test_gbt_score_trains_on_rows_that_are_computed_once(spark, monkeypatch):
     for rows in seen:
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "RDD" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_tree_shap_explains_rows_that_are_computed_once(spark, monkeypatch):
+    from stratalog.plans import catalog_more
+
+    seen = []
+    monkeypatch.setattr(T, "train", lambda rows: seen.append(rows))
+    monkeypatch.setattr(T, "leaves", lambda spark, model, folder: [(1.0, [(0, 0.5, [(0.0, True)])])])
+    explain = T.explain
+    monkeypatch.setattr(T, "explain", lambda rows, found, names: (seen.append(rows), explain(rows, found, names))[1])
+    assert catalog_more.tree_shap(spark, "/root/testdata/sf0.001").count() > 10
+    assert len(seen) == 2
+    for rows in seen:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "RDD" in plan and "Exchange" not in plan and "Join" not in plan
