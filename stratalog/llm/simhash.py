@@ -103,11 +103,10 @@ def forest_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = new
 
 
-def meetings(fps: np.ndarray, prefix: int, prefix_bits: int, half: int, fp_bits: int = 64, block: int = BLOCK_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of indices into fps that share a variant beginning with prefix: (a, b) where b is the run's first, a a later one.
+def runs(fps: np.ndarray, prefix: int, prefix_bits: int, half: int, fp_bits: int = 64, block: int = BLOCK_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(owner, starts): indices into fps, run by run those that share a variant beginning with prefix, and where each run starts.
 
-    fps: distinct, ascending order decides which index is first. Blocks go by the next bits of the variants, as many as
-    bounded memory needs.
+    Blocks go by the next bits of the variants, as many as bounded memory needs.
     """
     low_bits = fp_bits - prefix_bits
     split = 0
@@ -135,8 +134,12 @@ def meetings(fps: np.ndarray, prefix: int, prefix_bits: int, half: int, fp_bits:
         same = value[1:] == value[:-1]
         if not same.any():
             continue
-        begins = np.concatenate(([True], ~same))
-        starts = np.flatnonzero(begins)
+        yield owner, np.flatnonzero(np.concatenate(([True], ~same)))
+
+
+def meetings(fps: np.ndarray, prefix: int, prefix_bits: int, half: int, fp_bits: int = 64, block: int = BLOCK_VARIANTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of the runs: b is the run's first, a a later one. fps: distinct, ascending order decides which index is first."""
+    for owner, starts in runs(fps, prefix, prefix_bits, half, fp_bits, block):
         first = np.repeat(np.minimum.reduceat(owner, starts), np.diff(starts, append=len(owner)))
         later = np.flatnonzero(first != owner)
         yield owner[later], first[later]
@@ -243,8 +246,95 @@ def sketch_of(hashes: np.ndarray, size: int = SKETCH) -> bytes:
     return out.tobytes()
 
 
+#: Near copies by ball hashing: a SimHash of PRINTS * 32 bits is read as PRINTS fingerprints of 32 bits; texts meet where one of these
+#: differs in 4 bits or fewer, and are candidates if FAR or fewer of all bits differ. At similarity 0.8 a bit differs with
+#: probability 0.15, so that is over three standard deviations above what copies have. A part gets about PART_ROWS fingerprints.
+PRINTS, FAR, PART_ROWS = 8, 60, 1 << 20
+_SEEDS = np.array([[0x9E3779B97F4A7C15], [0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93]], np.uint64)
+
+
+def wide_print(hashes: np.ndarray) -> bytes:
+    """The SimHash of PRINTS * 32 bits of a set of 64-bit hashes: each bit's majority over the hashes, mixed anew for each 64 bits."""
+    n = len(hashes)
+    mixed = (hashes[None, :] ^ (hashes[None, :] >> np.uint64(32))) * _SEEDS
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    mixed ^= mixed >> np.uint64(32)
+    at = np.ascontiguousarray(mixed.T).view(np.uint8).reshape(n, PRINTS * 4).astype(np.int64) + np.arange(PRINTS * 4) * 256
+    ones = np.bincount(at.ravel(), minlength=PRINTS * 1024).reshape(-1, 256) @ _BYTE_BITS
+    return np.packbits(2 * ones.ravel() > n).tobytes()
+
+
+def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those links a-b, as rows, that join groups without a circle, and the labels of the groups then."""
+    out = [np.zeros((0, 2), np.int64)]
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate(out), label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        one = np.unique(np.maximum(x, y), return_index=True)[1]
+        out.append(np.stack((a[one], b[one]), 1))
+        label = forest_of(x[one], y[one], len(label))[label]
+
+
+def near_in_runs(found: Iterator[tuple[np.ndarray, np.ndarray]], wide: np.ndarray, far: int = FAR) -> np.ndarray:
+    """Links, as rows, of indices in a run with `far` or fewer differing bits; they join all such pairs of all runs.
+
+    All of a run are compared with each other, but for those that links join already.
+    """
+    label, out = np.arange(len(wide)), [np.zeros((0, 2), np.int64)]
+    for owner, starts in found:
+        run = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(owner)))
+        step = 0
+        while len(owner):
+            starts = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+            size, own = np.diff(starts, append=len(run)), label[owner]
+            step += 1
+            live = np.repeat((size > step) & (np.minimum.reduceat(own, starts) < np.maximum.reduceat(own, starts)), size)
+            owner, run = owner[live], run[live]
+            at = np.flatnonzero(run[step:] == run[:-step])
+            a, b = owner[at + step], owner[at]
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            near = np.bitwise_count(wide[a] ^ wide[b]).sum(1) <= far
+            links, label = spanning(a[near], b[near], label)
+            out.append(links)
+    return np.concatenate(out)
+
+
+def ball_candidates(nodes: DataFrame, n: int, radius: int = 4) -> DataFrame:
+    """(a, b), a > b: pairs of nodes (node, wide) of which a fingerprint differs in at most `radius` (even) bits, and the whole in
+    FAR or fewer; they keep the components of all such pairs. n: the number of nodes, which sets how finely they are dealt.
+    """
+    half = radius // 2
+    bits = next(p for p in range(3, 28) if n * len(flips(p, half)) >> p <= PART_ROWS or p == 27)
+    masks = flips(bits, half)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, 1):
+                prints = np.frombuffer(b"".join(rows.column(1).to_pylist()), ">u4").reshape(-1, PRINTS).astype(np.uint64)
+                parts = ((prints >> np.uint64(32 - bits))[:, :, None] ^ masks) | (np.arange(PRINTS, dtype=np.uint64)[:, None] << np.uint64(bits))
+                again = pa.array(np.repeat(np.arange(rows.num_rows), PRINTS * len(masks)))
+                yield pa.RecordBatch.from_arrays([pa.array(parts.ravel().astype(np.int64)), rows.column(0).take(again), rows.column(1).take(again)], ["part", "node", "wide"])
+
+    def run(rows: pa.Table) -> pa.Table:
+        part, node = rows.column("part")[0].as_py(), rows.column("node").to_numpy()
+        prints = np.frombuffer(b"".join(rows.column("wide").to_pylist()), ">u4").reshape(-1, PRINTS)
+        fps = prints[:, part >> bits].astype(np.uint64)
+        found = near_in_runs(runs(fps, part & ((1 << bits) - 1), bits, half, 32), prints.view(np.uint64))
+        ends = node[found]
+        return pa.table({"a": ends.max(1), "b": ends.min(1)})
+
+    dealt = nodes.select("node", "wide").mapInArrow(deal, "part long, node long, wide binary")
+    return dealt.groupBy("part").applyInArrow(run, "a long, b long").distinct()
+
+
 def marks(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, digest, sketch, grams): the k-word shingles' sketch, their set as sorted 32-bit hashes, and the digest of both."""
+    """(key, digest, sketch, grams, wide): the k-word shingles' sketch, their set as sorted 32-bit hashes, the digest of both, and
+    the set's SimHash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -255,10 +345,11 @@ def marks(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 sketches = [sketch_of(h) for h in hashes]
                 grams = [np.unique(h.astype(np.uint32)).astype("<u4").tobytes() for h in hashes]
                 digests = [xxh3_128_digest(x + y) for x, y in zip(sketches, grams, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in (digests, sketches, grams))], ["key", "digest", "sketch", "grams"])
+                wide = [wide_print(h) for h in hashes]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in (digests, sketches, grams, wide))], ["key", "digest", "sketch", "grams", "wide"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, digest binary, sketch binary, grams binary")
+    return rows.mapInArrow(run, "key long, digest binary, sketch binary, grams binary, wide binary")
 
 
 @lru_cache(maxsize=1)
@@ -285,16 +376,16 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 
 def _banded(nodes: DataFrame) -> DataFrame:
-    """(key, node) for every band key of nodes (node, sketch)."""
+    """(key, node, group) for every band key of nodes (node, sketch, group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 keys = [band_keys(np.frombuffer(s, np.uint16)) for s in part.column(1).to_pylist()]
-                owner = np.repeat(part.column(0).to_numpy(), [len(x) for x in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(owner, pa.int64())], ["key", "node"])
+                owner, group = (np.repeat(part.column(i).to_numpy(), [len(x) for x in keys]) for i in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(owner, pa.int64()), pa.array(group, pa.int64())], ["key", "node", "group"])
 
-    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sketch", "group").mapInArrow(run, "key long, node long, group long")
 
 
 def similarity(x: np.ndarray, y: np.ndarray) -> float:
@@ -338,15 +429,16 @@ def near_links(nodes: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     in common; similar as `linked` has it.
 
     Keys with the same nodes count once. The nodes of a key are compared with each other where they meet; beyond `block` of
-    them they are dealt to blocks, and each two blocks meet.
+    them they are dealt to blocks, and each two blocks meet. Nodes may have a `group`, which links join already: a key whose nodes
+    are all of one group has nothing to add.
     """
     exact = "grams" in nodes.columns
-    banded = _banded(nodes)
-    sets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
-    kept = sets.where("n > 1").groupBy("n", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
+    banded = _banded(nodes if "group" in nodes.columns else nodes.withColumn("group", F.col("node")))
+    sets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), (F.min("group") < F.max("group")).alias("open"), *(F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (1, 2)))
+    kept = sets.where("open").groupBy("n", "lo", "hi", "x1", "x2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("long").alias("blocks"))
     own = F.expr("pmod(xxhash64(node, 3), blocks)")
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least("own", j) * F.col("blocks") + F.greatest("own", j))
-    members = banded.join(kept, "key").withColumn("own", own).select("key", "node", F.explode(met).alias("met"))
+    members = banded.drop("group").join(kept, "key").withColumn("own", own).select("key", "node", F.explode(met).alias("met"))
     carried = ["sketch", "grams"] if exact else ["sketch"]
     dealt = members.join(nodes.select("node", *carried), "node").select("key", "met", "node", *carried)
 
@@ -398,29 +490,46 @@ def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
     """(key, component) of near copies: the smallest key of each group, for every row with a key.
 
-    Texts of one set of k-word shingles are one node. Two nodes are candidates if their sketches have the same values in one of
-    BANDS bands: of pairs whose shingles' Jaccard similarity is `least` = 0.8 nearly all do, however their words differ (measured
-    in the README). Candidates are screened by their sketches, and every link that joins a group is then verified by the sets
-    themselves. Groups in which a link fails are compared again, with the sets at hand, so that no pair behind it is lost. Nodes
-    without a word are one group.
+    Texts of one set of k-word shingles are one node. Candidates come from ball hashing of the SimHash of that set, and each is
+    verified by the sets themselves: first every node's candidate with the smallest node, then those between groups that this
+    leaves apart. The few pairs that ball hashing misses (measured in the README) are looked for among nodes with a band of
+    their sketches in common, but only where these are of different groups. There candidates are screened by their sketches, every
+    link is verified by the sets too, and groups in which one fails are compared again, with the sets at hand, so that no pair
+    behind it is lost. Nodes without a word are one group.
     """
     marked = cut(marks(docs, key, text, k))
-    nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), F.first("sketch").alias("sketch")).where("node IS NOT NULL"))
+    nodes = cut(marked.groupBy("digest").agg(F.min("key").alias("node"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")).where("node IS NOT NULL"))
 
     def sets_of(names: DataFrame) -> DataFrame:
         """(node, grams) of the nodes named."""
         asked = nodes.join(names, "node", "left_semi").select("node", F.col("digest").alias("of"))
         return marked.join(asked, (F.col("key") == F.col("node")) & (F.col("digest") == F.col("of"))).select("node", "grams").dropDuplicates(["node"])
 
-    links = cut(near_links(nodes, least))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    told = cut(verified(links, sets_of(ends), least))
-    good = told.where("similar").select("a", "b")
+    def judged(links: DataFrame) -> DataFrame:
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        return cut(verified(links, sets_of(ends), least))
+
+    def grouped(links: DataFrame) -> DataFrame:
+        """(node, group): the nodes and the groups that the links join."""
+        return cut(nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("group")))
+
+    met = cut(ball_candidates(nodes.where(F.col("wide") != F.lit(bytes(PRINTS * 4))), nodes.count()))
+    good = judged(met.groupBy("a").agg(F.min("b").alias("b"))).where("similar").select("a", "b")
+    groups = grouped(good)
+    apart = met.join(groups.toDF("a", "group_a"), "a").join(groups.toDF("b", "group_b"), "b").where("group_a <> group_b").select("a", "b")
+    more = judged(cut(apart)).where("similar").select("a", "b")
+    if more.take(1):
+        good = good.union(more)
+        groups = grouped(good)
+    rest = cut(nodes.select("node", "sketch").join(groups, "node"))
+    links = cut(near_links(rest, least))
+    told = judged(links)
+    good = good.union(told.where("similar").select("a", "b"))
     if told.where("NOT similar").take(1):
         whole = cut(components(links))
         open_groups = told.where("NOT similar").select(F.col("a").alias("node")).join(whole, "node").select("component").distinct()
         again = cut(whole.join(open_groups, "component", "left_semi").select("node"))
-        asked = cut(nodes.select("node", "sketch").join(again, "node", "left_semi").join(sets_of(again), "node"))
+        asked = cut(rest.join(again, "node", "left_semi").join(sets_of(again), "node"))
         good = good.union(near_links(asked, least))
     found = components(good)
     resolved = nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))

@@ -192,3 +192,48 @@ def test_empty_tables_and_tables_without_labels(spark, tmp_path):
         labels.write.parquet(f"{folder}/labels.parquet")
         out = corpus_pipeline.run(spark, folder).collect()
         assert {r.doc_id for r in out} <= {1, 3} and bool(out) == bool(own) and all(r.exact for r in out)
+
+
+def prints_of(text):
+    return np.frombuffer(simhash.wide_print(np.unique(simhash.shingle_hashes(text.lower().encode().split(), 5, 42))), ">u4")
+
+
+def meet(x, y):
+    differing = np.bitwise_count(x ^ y)
+    return bool(differing.min() <= 4 and differing.sum() <= simhash.FAR)
+
+
+def test_ball_hashing_finds_edits_at_the_threshold():
+    rnd = random.Random(18)
+    for n in (30, 100, 300, 1000):
+        for kind in ("truncated", "extended", "swapped", "scattered"):
+            kept = 0
+            for _ in range(40):
+                base = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+                size = 0
+                while len(shingles(" ".join(base)) & (other := shingles(" ".join(edit := scattered(rnd, base, size + 1) if kind == "scattered" else edited(rnd, base, kind, size + 1))))) >= 0.8 * len(shingles(" ".join(base)) | other):
+                    size, last = size + 1, edit
+                kept += meet(prints_of(" ".join(base)), prints_of(" ".join(last if size else base)))
+            assert kept >= 0.9 * 40, (n, kind, kept)
+
+
+def test_ball_candidates_join_all_pairs_within_the_radius(spark):
+    rows = [(i, t) for i, t in corpus() if t and t.split()]
+    prints = {i: prints_of(t) for i, t in rows}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in prints:
+        for j in prints:
+            if j < i and meet(prints[i], prints[j]):
+                lo, hi = sorted((find(i), find(j)))
+                root[hi] = lo
+    nodes = spark.createDataFrame([(i, x.tobytes()) for i, x in prints.items()], "node long, wide binary")
+    pairs = [tuple(r) for r in simhash.ball_candidates(nodes, nodes.count()).collect()]
+    assert pairs and all(a > b and meet(prints[a], prints[b]) for a, b in pairs)
+    got = {r.node: r.component for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert {i: got.get(i, i) for i in prints} == {i: find(i) for i in prints}
