@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import cut, fresh, slices
+from stratalog.llm.common import cut, fresh, slices, swept
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).astype(np.int64)
 #: Variants that a part should hold, and the most that are sorted at once.
@@ -195,7 +195,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
 
     def told(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first())
+        return tuple(swept(df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("s"))).collect()[0])
 
     before = told(edges)
     while before[0]:

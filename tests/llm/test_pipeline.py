@@ -237,3 +237,23 @@ def test_ball_candidates_join_all_pairs_within_the_radius(spark):
     assert pairs and all(a > b and meet(prints[a], prints[b]) for a, b in pairs)
     got = {r.node: r.component for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {i: got.get(i, i) for i in prints} == {i: find(i) for i in prints}
+
+
+def test_a_table_that_is_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    from stratalog.llm.common import cut
+
+    def files():
+        found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    rows = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count().join(spark.range(7).repartition(5, "id").toDF("k"), "k")
+    kept = cut(rows)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
