@@ -61,8 +61,8 @@ def plan_mix(docs: DataFrame, text: str = "text", source: str = "source", key: s
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as the plan takes it."""
+    """The mixed corpus: the rows of docs, each as often as the plan takes it. Rows without a word are no part of it."""
     names = tuple(fresh(docs, "mix_size", "mix_source_size", "mix_target", "mix_copies"))
-    planned = plan_mix(docs, names=names, **options).where(F.col(names[3]) > 0)
+    planned = plan_mix(docs, names=names, **options).where((F.col(names[3]) > 0) & (F.col(names[0]) > 0))
     (turn,) = fresh(planned, "mix_turn")
     return planned.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(names[3]).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
