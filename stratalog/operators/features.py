@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -79,11 +80,16 @@ def rows_of(members: DataFrame) -> DataFrame:
     return members.groupBy("window_id", "label").agg(F.max_by("bucket_id", "start_time").alias("bucket_id"), F.max("start_time").alias("timestamp"))
 
 
-def build(members: DataFrame, buckets: DataFrame, instances: DataFrame, fields: tuple[str, ...] = METRIC_FIELDS) -> DataFrame:
-    """All features of all windows, long. Templates beyond the 200 with most instances are left out."""
+def build(members: DataFrame, buckets: DataFrame, instances: DataFrame, fields: tuple[str, ...] = METRIC_FIELDS, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """All features of all windows, long. Templates beyond the 200 with most instances are left out.
+
+    keep: computes a table once; without it the inventory is planned anew within each kind of feature, and all kinds in one plan.
+    """
     templates, kinds = inventory(instances)
-    kept = instances.join(top_templates(templates).select("template_id"), "template_id", "left_semi")
-    return reduce(DataFrame.unionByName, (metric_features(members, buckets, fields), template_features(kept), numeric_features(kept, kinds), categorical_features(kept, kinds)))
+    top, kinds = keep(top_templates(templates).select("template_id")), keep(kinds)
+    kept = instances.join(top, "template_id", "left_semi")
+    kinds_of = (metric_features(members, buckets, fields), template_features(kept), numeric_features(kept, kinds), categorical_features(kept, kinds))
+    return reduce(DataFrame.unionByName, map(keep, kinds_of))
 
 
 def assemble(rows: DataFrame, features: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, list[str]]:

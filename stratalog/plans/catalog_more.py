@@ -111,7 +111,7 @@ def _matrix(spark, d):
     buckets, instances = cut(P.buckets(spark, d)), P.instances(spark, d)
     labels = cut(L.label_buckets(buckets, L.symptoms(instances, ["error"])))
     members = cut(L.window_members(labels, buckets, 30))
-    features = cut(G.build(members, buckets, L.window_instances(members, instances, ["error"])))
+    features = G.build(members, buckets, L.window_instances(members, instances, ["error"]), keep=cut)
     return G.assemble(G.rows_of(members), features)
 
 

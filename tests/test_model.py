@@ -111,3 +111,12 @@ def test_tree_shap_explains_rows_that_are_computed_once(spark, monkeypatch):
     for rows in seen:
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "RDD" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_no_step_of_the_matrix_plans_all_kinds_of_features(spark, monkeypatch):
+    from stratalog.plans import catalog_more
+
+    sizes, cut = [], catalog_more.cut
+    monkeypatch.setattr(catalog_more, "cut", lambda df: (sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")), cut(df))[1])
+    rows, names = catalog_more._matrix(spark, "/root/testdata/sf0.001")
+    assert max(sizes) <= 12 and len(names) == len(rows.first().features) > 30
