@@ -21,14 +21,29 @@ from pyspark.sql import functions as F
 PARAMETERS = {"stepSize": 0.1, "maxIter": 100, "maxDepth": 5, "featureSubsetStrategy": "0.9", "subsamplingRate": 0.8, "minInstancesPerNode": 1, "seed": 2025}
 
 
+class OneLabel(ValueError):
+    """There are positives only; `train_one_label` fits them."""
+
+
 def train(rows: DataFrame, balance: bool = True, **parameters):
     """A classifier of rows (features vector, label 0/1); positives weigh negatives / positives if balanced."""
-    from pyspark.ml.classification import GBTClassifier
-
     n, p = rows.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 1)).first()
     if not p or p == n:
-        raise ValueError("training needs rows of both labels")
-    weight = (n - p) / p if balance else 1.0
+        raise (OneLabel if p else ValueError)("training needs rows of both labels")
+    return _fitted(rows, (n - p) / p if balance else 1.0, **parameters)
+
+
+def train_one_label(rows: DataFrame, **parameters):
+    """A classifier of rows of one label: all rows get one probability, and no feature has a Shapley value.
+
+    No split gains anything there, so the trees are one leaf; at a greater depth, rounding would make splits of 1e-17.
+    """
+    return _fitted(rows, 1.0, **(parameters | {"maxDepth": 0}))
+
+
+def _fitted(rows: DataFrame, weight: float, **parameters):
+    from pyspark.ml.classification import GBTClassifier
+
     own = rows.select("features", F.col("label").cast("double").alias("label"), F.when(F.col("label") == 1, weight).otherwise(1.0).alias("weight"))
     return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **(PARAMETERS | parameters)).fit(own)
 

@@ -118,7 +118,12 @@ def _matrix(spark, d):
 def _trained(spark, d):
     rows, names = _matrix(spark, d)
     split = cut(E.split_balanced(cut(rows), order=("timestamp", "window_id")))
-    return T.train(split.where("split = 'train'")), split, names
+    train = split.where("split = 'train'")
+    try:
+        model = T.train(train)
+    except T.OneLabel:  # dense logs have an error in every bucket, and so no negatives
+        model = T.train_one_label(train)
+    return model, split, names
 
 
 def gbt_score(spark, d):

@@ -120,3 +120,23 @@ def test_no_step_of_the_matrix_plans_all_kinds_of_features(spark, monkeypatch):
     monkeypatch.setattr(catalog_more, "cut", lambda df: (sizes.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange ")), cut(df))[1])
     rows, names = catalog_more._matrix(spark, "/root/testdata/sf0.001")
     assert max(sizes) <= 12 and len(names) == len(rows.first().features) > 30
+
+
+@pytest.fixture
+def dense(spark, tmp_path, monkeypatch):
+    """Events with an error in every bucket, as in large tables: no bucket is negative."""
+    from stratalog.plans import binding
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.unionByName(events.selectExpr("event_id + 100000 AS event_id", "ts", "user_id", "'error' AS event_type", "value", "props")).write.parquet(f"{tmp_path}/events.parquet")
+    assert binding.buckets(spark, str(tmp_path)).where("error_count = 0").isEmpty()
+    monkeypatch.setitem(T.PARAMETERS, "maxIter", 3)
+    return str(tmp_path)
+
+
+def test_gbt_score_without_negatives_gives_every_test_row_one_probability(spark, dense):
+    from stratalog.plans import catalog_more
+
+    rows = catalog_more.gbt_score(spark, dense).collect()
+    assert len(rows) > 100 and {r.label for r in rows} == {1}
+    assert len({r.probability for r in rows}) == 1 and 0.5 < rows[0].probability < 1
