@@ -140,3 +140,14 @@ def test_gbt_score_without_negatives_gives_every_test_row_one_probability(spark,
     rows = catalog_more.gbt_score(spark, dense).collect()
     assert len(rows) > 100 and {r.label for r in rows} == {1}
     assert len({r.probability for r in rows}) == 1 and 0.5 < rows[0].probability < 1
+
+
+def test_tree_shap_without_negatives_has_no_values(spark, dense, monkeypatch):
+    from stratalog.plans import catalog_more
+
+    found, explain = [], T.explain
+    monkeypatch.setattr(T, "explain", lambda rows, leaves, names: (found.append((leaves, rows.count())), explain(rows, leaves, names))[1])
+    out = catalog_more.tree_shap(spark, dense)
+    assert out.columns == ["window_id", "feature", "other", "value"] and out.isEmpty()
+    (leaves, n), = found
+    assert n > 100 and len(leaves) == 3 and all(path == [] for _, path in leaves) and T.expected_value(leaves) > 0
